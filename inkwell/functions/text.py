@@ -16,15 +16,16 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WS_CLASS = f"[{WHITESPACE}]"
-NOT_WS_CLASS = f"[^{WHITESPACE}]"
+WS_RANGES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_CLASS = f"[{WS_RANGES}]"
+NOT_WS_CLASS = f"[^{WS_RANGES}]"
 LINE_BREAKS = "[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Token patterns.
 CJK_RUN = "[\u4e00-\u9fff]+"
 LATIN_TOKEN = "[a-zA-Z0-9_./-]+"
-ROUGH_TOKEN = f"[\u4e00-\u9fff]|{LATIN_TOKEN}|{NOT_WS_CLASS}"
-SENTENCE = r"(?s).+?(?:[。！？!?；;]+|(?<=[.!?])" + WS_CLASS + r"+|$)"
+# A Latin run is one token; so is any other visible character, CJK included.
+ROUGH_TOKEN = f"{LATIN_TOKEN}|{NOT_WS_CLASS}"
 EMPTY_TOKEN = "__empty__"
 UNNAMED = "未命名"
 URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"

@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than cores, before CPU-heavy text work.
+
+    Meant for plain scans of small or single-block files. A large table already
+    has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def within_rows(df: DataFrame, max_rows: int) -> bool:
     """True when a bounded probe proves that ``df`` has at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows

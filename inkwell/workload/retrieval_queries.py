@@ -9,7 +9,7 @@ from inkwell.config import DEFAULTS
 from inkwell.functions import text as T
 from inkwell.operators import dense as D
 from inkwell.operators import retrieval as R
-from inkwell.session import table
+from inkwell.session import spread, table
 from inkwell.workload import sqltext as S
 from inkwell.workload.registry import register
 
@@ -17,9 +17,13 @@ K = DEFAULTS.candidate_limit
 LIMIT = DEFAULTS.retrieval_limit
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as chunks; corpus order is the document id."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("chunk_id"),
         F.col("doc_id").alias("pos"),
         F.col("text").alias("content"),
@@ -41,7 +45,7 @@ SEARCH = S.search_ctes(DOC_SQL, QUERY_SQL)
     f"""SELECT doc_id, len({S.tokens('text')}) AS n_distinct, {S.token_count('text')} AS n_rough FROM documents""",
 )
 def tokenize_stats(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id",
         F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_distinct"),
         T.token_count(F.col("text")).cast("bigint").alias("n_rough"),
