@@ -309,7 +309,8 @@ def _group_text(items: Column) -> list[Column]:
 
 
 def _members(spans: Column, g: Column) -> Column:
-    return F.slice(spans, g["first"] + 1, g["last"] - g["first"] + 1)
+    # Indexed access is constant time; slice() would copy the whole array once per group.
+    return F.transform(F.sequence(g["first"], g["last"]), lambda i: F.get(spans, i))
 
 
 def numbered_id(asset: Column, level: str, number: Column) -> Column:

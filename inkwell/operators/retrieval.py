@@ -64,11 +64,13 @@ def tokenized(chunks: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     """``bucket, scope_id, chunk_id, pos, tokens, doc_len, has_tokens`` hashed by bucket.
 
     ``scopes(scope_id, asset_id)`` repeats a chunk once per scope that holds its
-    asset, because corpus statistics differ per scope.
+    asset, because corpus statistics differ per scope. Chunks may also bring
+    their own ``scope_id``.
     """
     corpus = searchable(chunks)
     if scopes is None:
-        corpus = corpus.withColumn("scope_id", F.lit(GLOBAL_SCOPE))
+        if "scope_id" not in corpus.columns:
+            corpus = corpus.withColumn("scope_id", F.lit(GLOBAL_SCOPE))
     else:
         corpus = corpus.join(scopes.select("scope_id", "asset_id").distinct(), "asset_id")
     raw = T.tokenize(F.col("content"))
@@ -169,7 +171,6 @@ def _salted_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
         F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(HOT_TOKEN_SALTS - 1))).otherwise(F.array(F.lit(-1)))),
     )
     hot_tokens = terms.where(hot).select("scope_id", "token").distinct().withColumn("is_hot", F.lit(True))
-    # At most HOT_TOKEN_SALTS * mean tokens per chunk can exceed the bound, so this side stays tiny.
     marked = postings.join(F.broadcast(hot_tokens) if within_rows(hot_tokens, 10_000) else hot_tokens,
                            ["scope_id", "token"], "left")
     salted = marked.withColumn(
@@ -190,7 +191,7 @@ def pair_scores(
 ) -> DataFrame:
     """``bucket, query_id, chunk_id, pos, overlap, bm25`` for every pair sharing a token."""
     corpus = tokenized(chunks, scopes) if corpus is None else corpus
-    scoped = scopes is not None
+    scoped = scopes is not None or "scope_id" in chunks.columns
     terms = query_terms(queries)
     small = within_rows(terms, settings.broadcast_max_rows)
     weighted = _weighted_terms(corpus, terms, scoped, small)

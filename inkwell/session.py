@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +50,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for written intermediate tables: the cluster's ``spark.checkpoint.dir``.
+def checkpoint_root(spark: SparkSession) -> str:
+    """Shared folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    ``fallback`` is used only where the session names none, as in local tests.
+    Only a session without that setting (local tests) gets a temporary folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if fallback:
-        return fallback
-    raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if not root:
+        root = tempfile.mkdtemp(prefix="inkwell-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Write once, read back: cuts lineage for a table that several branches read, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/inkwell/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def null_safe_count(condition) -> F.Column:

@@ -15,4 +15,5 @@ def load_all() -> None:
 
 MODULES = (
     "retrieval_queries",
+    "memory_queries",
 )

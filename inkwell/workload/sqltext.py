@@ -112,3 +112,18 @@ def reranked(limit: int, source: str = "fused") -> str:
                 ORDER BY score DESC, fusion_score DESC, fusion_rank) AS rank
       FROM (SELECT *, round(fusion_score + dense_score + sparse_score, 9) AS score FROM {source}))
       WHERE rank <= {limit}"""
+
+
+def key_slug(x: str, limit: int = 48) -> str:
+    raw = f"trim(regexp_replace(lower({strip(x)}), '[^a-zA-Z0-9一-鿿]+', '_', 'g'), '_')"
+    return f"substring(CASE WHEN {raw} = '' THEN 'item' ELSE {raw} END, 1, {limit})"
+
+
+def slug(x: str, limit: int = 72, default: str = "chunk") -> str:
+    raw = f"substring(trim(regexp_replace(lower({strip(x)}), '[^\\p{{L}}\\p{{N}}_]+', '-', 'g'), '-'), 1, {limit})"
+    return f"(CASE WHEN {raw} = '' THEN '{default}' ELSE {raw} END)"
+
+
+def short_sentences(x: str, limit: int = 3) -> str:
+    parts = f"list_transform(regexp_split_to_array({x}, '[。\n!?；;]+'), lambda p: {strip('p')})"
+    return f"list_slice(list_filter({parts}, lambda p: p <> ''), 1, {limit})"
