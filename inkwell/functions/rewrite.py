@@ -172,7 +172,7 @@ def rewrite_queries(queries: DataFrame, settings: Settings = DEFAULTS, broaden:
             F.lit("baseline").alias("intent"),
             q.alias("original_query"),
             q.alias("standalone_query"),
-            F.posexplode(plain).alias("at", "v"),
+            F.posexplode_outer(plain).alias("at", "v"),
         )
     else:
         staged = base.select(
@@ -206,7 +206,7 @@ def rewrite_queries(queries: DataFrame, settings: Settings = DEFAULTS, broaden:
             "intent",
             q.alias("original_query"),
             F.col("standalone").alias("standalone_query"),
-            F.posexplode(F.transform(F.slice(ordered, 1, limit), lambda o: o["v"])).alias("at", "v"),
+            F.posexplode_outer(F.transform(F.slice(ordered, 1, limit), lambda o: o["v"])).alias("at", "v"),
         )
     return rows.select(
         "query_id",

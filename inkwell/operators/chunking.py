@@ -1,5 +1,9 @@
 """Sections, sentences and two-level chunks.
 
+Arrays become rows with the outer form of explode: the plain form adds a
+not-empty filter that the optimizer pushes below the projections, which would
+evaluate the whole text expression a second time.
+
 Text stays in the JVM: sections, sentences, hard splits and token counts are
 array expressions inside one row, so no shuffle moves document text. Only the
 greedy packing, a sequential fold with overlap feedback, runs in a Python
@@ -153,7 +157,7 @@ def with_sections(docs: DataFrame, content: str = "content") -> DataFrame:
 def section_rows(docs: DataFrame, content: str = "content") -> DataFrame:
     """One row per section: ``section_no`` from 1, ``heading, body, page_start, page_end``."""
     keep = [c for c in docs.columns if c != content]
-    return with_sections(docs, content).select(*keep, F.posexplode("sections").alias("_no", "_s")).select(
+    return with_sections(docs, content).select(*keep, F.posexplode_outer("sections").alias("_no", "_s")).select(
         *keep, (F.col("_no") + 1).alias("section_no"), "_s.*"
     )
 
@@ -409,8 +413,8 @@ def chunk_documents(assets: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         *keep, "heads", "parents", F.transform("groups.children", child).alias("children")
     )
     rows = levels.select(
-        *keep, "heads", F.explode(F.concat("parents", "children")).alias("c")
-    ).select(*keep, "c.*", F.element_at("heads", F.col("c.section") + 1).alias("head"))
+        *keep, "heads", F.explode_outer(F.concat("parents", "children")).alias("c")
+    ).where(F.col("c").isNotNull()).select(*keep, "c.*", F.element_at("heads", F.col("c.section") + 1).alias("head"))
     heading = F.col("head.heading")
     is_body = heading == BODY_HEADING
     anchor = F.concat(F.lit("/assets/"), F.col("asset_id").cast("string"))

@@ -161,7 +161,7 @@ def fact_drafts(runs: DataFrame) -> DataFrame:
                         F.to_json(F.struct(h.alias("hint")))),
     )
     turn = [*SESSION, "sequence_id", *_carried(runs)]
-    rows = runs.select(*turn, F.posexplode(F.array_compact(F.concat(drafts, hints))).alias("at", "d"))
+    rows = runs.select(*turn, F.posexplode_outer(F.array_compact(F.concat(drafts, hints))).alias("at", "d"))
     # Drafts of one turn are at most a handful, so this group is bounded.
     return (
         rows.groupBy(*turn, F.col("d.fact_type").alias("fact_type"), F.col("d.memory_key").alias("memory_key"))
@@ -446,7 +446,7 @@ def _filled(value: Column, default: Column) -> Column:
 def summary_episodes(batches: DataFrame) -> DataFrame:
     """Episodic rows from ``summary_json`` of compaction batches; items without summary drop out."""
     parsed = batches.withColumn("_s", F.from_json(json_object_text(F.col("summary_json")), SUMMARY_SCHEMA))
-    rows = parsed.select(*SESSION, "last_sequence_id", "provenance", F.posexplode("_s.episodic_memories").alias("at", "e"))
+    rows = parsed.select(*SESSION, "last_sequence_id", "provenance", F.posexplode_outer("_s.episodic_memories").alias("at", "e")).where("e is not null")
     kept = rows.withColumn("summary", T.compact(F.coalesce("e.summary", F.lit("")), 900)).where(F.col("summary") != "")
     return kept.select(
         stable_id("ep", F.col("session_id"), F.col("last_sequence_id"), F.lit("summary"), F.col("at")).alias("id"),
@@ -464,7 +464,7 @@ def summary_episodes(batches: DataFrame) -> DataFrame:
 def summary_facts(batches: DataFrame) -> DataFrame:
     """Cleaned fact drafts from ``summary_json``; unknown types become plain facts."""
     parsed = batches.withColumn("_s", F.from_json(json_object_text(F.col("summary_json")), SUMMARY_SCHEMA))
-    rows = parsed.select(*SESSION, "last_sequence_id", "provenance", F.posexplode("_s.semantic_memories").alias("at", "f"))
+    rows = parsed.select(*SESSION, "last_sequence_id", "provenance", F.posexplode_outer("_s.semantic_memories").alias("at", "f")).where("f is not null")
     kept = rows.withColumn("statement", T.compact(F.coalesce("f.statement", F.lit("")), 900)).where(F.col("statement") != "")
     raw_type = T.compact(_filled(F.col("f.fact_type"), F.lit("fact")), 32)
     typed = kept.withColumn("fact_type", F.when(raw_type.isin(*R.FACT_TYPES), raw_type).otherwise(F.lit("fact")))

@@ -16,4 +16,5 @@ def load_all() -> None:
 MODULES = (
     "retrieval_queries",
     "memory_queries",
+    "rewrite_queries",
 )
