@@ -49,9 +49,12 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def scan_object(texts: pd.Series) -> pd.Series:
-    return texts.map(first_object)
+def scan_object(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(first_object)
+
+    return scan(text)
 
 
 def typed_arguments(arguments: Column) -> Column:

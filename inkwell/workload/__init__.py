@@ -17,4 +17,5 @@ MODULES = (
     "retrieval_queries",
     "memory_queries",
     "rewrite_queries",
+    "decision_queries",
 )
