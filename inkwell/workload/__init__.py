@@ -18,4 +18,5 @@ MODULES = (
     "memory_queries",
     "rewrite_queries",
     "decision_queries",
+    "workspace_queries",
 )
