@@ -212,41 +212,18 @@ def short_sentences(col: Column, limit: int = 3) -> Column:
 # --- document canonical forms ---------------------------------------------------
 
 
-def strip_front_matter(col: Column) -> Column:
-    text = normalize_newlines(col)
+def strip_front_matter(text: Column) -> Column:
+    """Text after a leading ``---`` block; ``text`` must have normalised newlines already."""
     closing = F.call_function("locate", F.lit("\n---\n"), text, F.lit(5))
-    body = lstrip(F.substring(text, closing + 5, F.length(text)))
-    return F.when(F.startswith(text, F.lit("---\n")) & (closing > 0), body).otherwise(text)
+    return F.when(
+        F.startswith(text, F.lit("---\n")) & (closing > 0), lstrip(F.substring(text, closing + 5, F.length(text)))
+    ).otherwise(text)
 
 
 def source_line(filename: Column) -> Column:
     return F.concat(F.lit("来源文件："), filename)
 
 
-def _titled(title: Column, filename: Column, body: Column) -> Column:
-    return collapse_blank_lines(
-        F.concat(F.lit("# "), title, F.lit("\n\n"), source_line(filename), F.lit("\n\n"), body)
-    )
-
-
-def markdown_document(text: Column, title: Column, filename: Column) -> Column:
-    """Canonical Markdown; NULL when nothing is left after front matter and trimming."""
-    body = collapse_blank_lines(strip_front_matter(text))
-    first = F.element_at(F.split(body, LINE_BREAKS), 1)
-    rest = lstrip(F.substring(body, F.length(first) + 1, F.length(body)))
-    kept = collapse_blank_lines(
-        F.concat_ws("\n\n", strip(first), source_line(filename), F.when(rest != "", rest))
-    )
-    return F.when(body == "", F.lit(None).cast("string")).otherwise(
-        F.when(F.startswith(first, F.lit("#")), kept).otherwise(_titled(title, filename, body))
-    )
-
-
-def text_document(text: Column, title: Column, filename: Column) -> Column:
-    body = collapse_blank_lines(normalize_newlines(text))
-    return F.when(body == "", F.lit(None).cast("string")).otherwise(_titled(title, filename, body))
-
-
 def page_text(col: Column) -> Column:
     """Extracted page text: wrapped lines join with blanks, blank lines separate paragraphs."""
     lines = F.transform(F.split(normalize_newlines(col), LINE_BREAKS), collapse_spaces)

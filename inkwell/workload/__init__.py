@@ -19,4 +19,5 @@ MODULES = (
     "rewrite_queries",
     "decision_queries",
     "workspace_queries",
+    "stream_queries",
 )
