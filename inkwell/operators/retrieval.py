@@ -218,7 +218,7 @@ def pair_scores(
     return matches.groupBy(*keys).agg(
         F.count_if(F.col("has_tokens") & F.col("query_has_tokens")).cast("double").alias("overlap"),
         F.round(F.sum(F.col("idf") * F.col("factor")), SCORE_DIGITS).alias("bm25"),
-    )
+    ).select("bucket", "query_id", "chunk_id", "pos", "overlap", "bm25")
 
 
 def _rank(partition: list[str], score: str) -> Column:
