@@ -117,31 +117,13 @@ def compact_sessions(items: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 def track_uploads(parts: DataFrame) -> DataFrame:
     """Stream of good parts ``upload_id, part_index, total_chunks`` → one row per upload when its last part arrives.
 
-    Repeated parts and parts of finished uploads change nothing.
+    Repeated parts are dropped by key, so the count of an upload reaches its
+    total exactly once and never changes again. State and counting stay in the
+    JVM. Runs in update mode (see :func:`run_updates`).
     """
-
-    def step(key, batches, state: GroupState):
-        received, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
-        out = []
-        total = 0
-        for rows in batches:
-            received.update(int(i) for i in rows["part_index"])
-            total = int(rows["total_chunks"].iloc[0])
-        if not done and len(received) == total:
-            done = True
-            out.append((key[0], total))
-        state.update(([] if done else sorted(received), done))
-        yield pd.DataFrame(out, columns=["upload_id", "total_chunks"])
-
-    return parts.select("upload_id", F.col("part_index").cast("int"), F.col("total_chunks").cast("int")).groupBy(
-        "upload_id"
-    ).applyInPandasWithState(
-        step,
-        "upload_id string, total_chunks int",
-        "received array<int>, done boolean",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    fresh = parts.select("upload_id", "part_index", F.col("total_chunks").cast("int")).dropDuplicates(["upload_id", "part_index"])
+    counts = fresh.groupBy("upload_id").agg(F.count("*").alias("n"), F.max("total_chunks").alias("total_chunks"))
+    return counts.where(F.col("n") == F.col("total_chunks")).select("upload_id", "total_chunks")
 
 
 def index_feed(changes: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
@@ -169,3 +151,22 @@ def run_available(frame: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def run_updates(frame: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an update-mode stream over everything that is there now.
+
+    Every micro-batch owns one folder and overwrites it, so a replayed batch adds nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    query = (
+        frame.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+    query.awaitTermination()

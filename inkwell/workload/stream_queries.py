@@ -77,8 +77,9 @@ def stream_uploads(spark, sf):
         (F.col("l_linenumber") - 1).alias("part_index"),
         (F.col("l_orderkey") % 7 + 1).alias("total_chunks"),
     )
-    done = run_through(spark, feeds.track_uploads(parts), "uploads")
-    return done.select("upload_id", F.col("total_chunks").cast("bigint").alias("total_chunks"))
+    frame, out = feeds.track_uploads(parts), scratch(spark, "uploads")
+    feeds.run_updates(frame, out, scratch(spark, "uploads-state"))
+    return spark.read.schema(frame.schema).parquet(out).select("upload_id", F.col("total_chunks").cast("bigint").alias("total_chunks"))
 
 
 @register(

@@ -118,7 +118,7 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert sorted(map(tuple, ingest.read_jsonl(spark, str(tmp_path / "r"), "id bigint, text string").collect())) == [(1, "语"), (2, "b")]
 
 
-def _stream(spark, tmp_path, rows, schema, files, build, name):
+def _stream(spark, tmp_path, rows, schema, files, build, name, run=feeds.run_available):
     """Write rows as several files, one file per trigger, and run the stream over them."""
     src = tmp_path / f"{name}-src"
     size = -(-len(rows) // files)
@@ -128,7 +128,7 @@ def _stream(spark, tmp_path, rows, schema, files, build, name):
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     frame = build(stream)
-    feeds.run_available(frame, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-chk"))
+    run(frame, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-chk"))
     return spark.read.schema(frame.schema).parquet(str(tmp_path / f"{name}-out")).collect()
 
 
@@ -154,5 +154,5 @@ def test_stream_compaction_does_not_depend_on_triggers(spark, tmp_path, files):
 
 def test_uploads_finish_once(spark, tmp_path):
     rows = [("u", 0, 3), ("u", 2, 3), ("u", 2, 3), ("u", 1, 3), ("u", 1, 3), ("v", 0, 2)]
-    got = _stream(spark, tmp_path, rows, "upload_id string, part_index int, total_chunks int", 6, feeds.track_uploads, "up")
+    got = _stream(spark, tmp_path, rows, "upload_id string, part_index int, total_chunks int", 6, feeds.track_uploads, "up", feeds.run_updates)
     assert [(r.upload_id, r.total_chunks) for r in got] == [("u", 3)]
