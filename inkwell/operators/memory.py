@@ -80,7 +80,6 @@ def working_rows(runs: DataFrame) -> DataFrame:
 
 def note_rows(notes: DataFrame) -> DataFrame:
     """Explicit memory writes ``…, key, content, importance, user_query`` as working rows."""
-    number = F.col("importance").try_cast("double")
     return notes.select(
         stable_id("wm", F.col("session_id"), F.col("sequence_id"), F.col("key"), F.col("content")).alias("id"),
         *SESSION,
@@ -88,7 +87,7 @@ def note_rows(notes: DataFrame) -> DataFrame:
         F.lit(2).alias("ordinal"),
         T.compact_named(F.coalesce(F.nullif(F.col("key"), F.lit("")), F.lit("agent_note")), 64).alias("memory_key"),
         T.compact_named(F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("user_query")), 500).alias("content"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.6)).alias("importance"),
+        coerce_importance(F.col("importance"), 0.6).alias("importance"),
         F.lit("agent_memory_write").alias("kind"),
         F.lit("agent_tool").alias("source"),
         T.no_strings().alias("citations"),

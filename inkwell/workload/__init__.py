@@ -20,4 +20,5 @@ MODULES = (
     "decision_queries",
     "workspace_queries",
     "stream_queries",
+    "layout_queries",
 )
