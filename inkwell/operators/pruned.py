@@ -1,0 +1,137 @@
+"""Exact top-k without scoring every pair that shares a frequent token.
+
+1. A seed: for every query, the best chunks by its rarest tokens get their full
+   scores. The worst of these ``k`` scores is a lower bound of the k-th best.
+2. The most frequent tokens of a query that together cannot reach either bound
+   are *hot*: a chunk that matches only hot tokens is in no top-k list, so hot
+   tokens produce no candidates.
+3. Candidates come from the other tokens. A candidate whose score plus all hot
+   tokens stays below both bounds is dropped; the rest get their hot part from
+   the chunk's own token list.
+
+Bounds are strict, so ties at the cut survive and the lists equal those of the
+full computation. Queries with fewer than ``k`` seeds have no hot tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from inkwell.config import DEFAULTS, Settings
+from inkwell.operators import retrieval as R
+from inkwell.session import materialized, shuffle_partitions, within_rows
+
+SEED_POSTINGS = 8  # seed tokens are added until they hold this many times k postings
+SLACK = 1e-6  # keeps rounding differences on the safe side of every bound
+
+
+def _factor(avg_len: float) -> Column:
+    return F.lit(R.K1 + 1) / (1 + R.K1 * (1 - R.B + R.B * F.col("doc_len") / F.lit(avg_len)))
+
+
+def _term_sum(terms: Column, tokens: Column, value) -> Column:
+    """Sum of ``value(term)`` over the terms that occur in the chunk."""
+    return F.aggregate(
+        terms,
+        F.lit(0.0),
+        lambda acc, t: acc + F.when(F.array_contains(tokens, t["token"]), value(t)).otherwise(F.lit(0.0)),
+    )
+
+
+def _matches(corpus: DataFrame, terms: DataFrame, avg_len: float) -> DataFrame:
+    postings = corpus.select(
+        "chunk_id", "pos", "bucket", "has_tokens", _factor(avg_len).alias("factor"), F.explode_outer("tokens").alias("token")
+    )
+    return postings.join(F.broadcast(terms), "token").groupBy("chunk_id", "query_id", "pos", "bucket", "factor").agg(
+        F.count_if(F.col("has_tokens") & F.col("query_has_tokens")).cast("double").alias("overlap"),
+        F.sum(F.col("idf") * F.col("factor")).alias("bm25"),
+    )
+
+
+def ranked_lists(
+    queries: DataFrame, chunks: DataFrame, k: int, settings: Settings = DEFAULTS
+) -> DataFrame | None:
+    """Both ranked lists as :func:`retrieval.ranked_lists` gives them; None when the query set is not small."""
+    terms = R.query_terms(queries)
+    if not within_rows(terms, settings.broadcast_max_rows):
+        return None
+    stored = materialized(R.tokenized(chunks), "tokens")
+    weighted = materialized(
+        R.inverse_frequencies(stored).join(F.broadcast(terms), ["scope_id", "token"]).drop("scope_id"), "terms"
+    )
+    stats = stored.agg(F.avg("doc_len").alias("avg_len"), F.min("doc_len").alias("min_len")).first()
+    if stats.avg_len is None:
+        return None
+    avg_len = stats.avg_len
+    most = (R.K1 + 1) / (1 + R.K1 * (1 - R.B + R.B * stats.min_len / avg_len))
+    corpus = stored.repartition(shuffle_partitions(chunks.sparkSession), "chunk_id")
+    n_queries = weighted.select("query_id").distinct().count()
+
+    bounds = materialized(_bounds(corpus, weighted, k, avg_len, n_queries, settings), "bounds")
+    rarest_last = Window.partitionBy("query_id").orderBy(F.col("df").desc(), "token")
+    marked = (
+        weighted.join(F.broadcast(bounds), "query_id", "left")
+        .na.fill(0.0, ["min_overlap", "min_bm25"])
+        .withColumn("_n", F.row_number().over(rarest_last))
+        .withColumn("_idf", F.sum(F.greatest("idf", F.lit(0.0))).over(rarest_last))
+        .withColumn("hot", (F.col("_n") < F.col("min_overlap")) & (F.col("_idf") * most < F.col("min_bm25") - SLACK))
+    )
+    essential = marked.where(~F.col("hot")).select("token", "query_id", "idf", "query_has_tokens")
+    # One row per query with its hot terms; all terms together are within the counted bound.
+    hot = marked.groupBy("query_id").agg(
+        F.first("min_overlap").alias("min_overlap"),
+        F.first("min_bm25").alias("min_bm25"),
+        F.first("query_has_tokens").alias("query_has_tokens"),
+        F.collect_list(F.when(F.col("hot"), F.struct("token", "idf"))).alias("hot_terms"),
+        F.sum(F.when(F.col("hot"), F.greatest("idf", F.lit(0.0))).otherwise(F.lit(0.0))).alias("hot_idf"),
+    )
+    candidates = _matches(corpus, essential, avg_len).join(F.broadcast(hot), "query_id").where(
+        (F.col("overlap") + F.size("hot_terms") >= F.col("min_overlap"))
+        | (F.col("bm25") + F.col("hot_idf") * F.col("factor") >= F.col("min_bm25") - SLACK)
+    )
+    completed = candidates.join(corpus.select("chunk_id", "tokens", "has_tokens"), "chunk_id")
+    counts = F.col("has_tokens") & F.col("query_has_tokens")
+    pairs = completed.select(
+        "bucket",
+        "query_id",
+        "chunk_id",
+        "pos",
+        (F.col("overlap") + F.when(counts, _term_sum(F.col("hot_terms"), F.col("tokens"), lambda t: F.lit(1.0))).otherwise(F.lit(0.0))).alias("overlap"),
+        F.round(
+            F.col("bm25") + F.col("factor") * _term_sum(F.col("hot_terms"), F.col("tokens"), lambda t: t["idf"]), R.SCORE_DIGITS
+        ).alias("bm25"),
+    )
+    return R.ranked_lists(pairs, k)
+
+
+def _bounds(corpus: DataFrame, weighted: DataFrame, k: int, avg_len: float, n_queries: int, settings: Settings) -> DataFrame:
+    """``query_id, min_overlap, min_bm25`` over ``k`` fully scored seeds; queries with fewer seeds are left out."""
+    rarest_first = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    rare = weighted.withColumn("_before", F.coalesce(F.sum("df").over(rarest_first), F.lit(0))).where(
+        F.col("_before") < SEED_POSTINGS * k
+    )
+    partial = _matches(corpus, rare.select("token", "query_id", "idf", "query_has_tokens"), avg_len)
+    seeds = R.top_candidates(partial, k, "bm25").select("query_id", "chunk_id")
+    if n_queries * k <= settings.broadcast_max_rows:
+        seeds = F.broadcast(seeds)
+    all_terms = weighted.groupBy("query_id", "query_has_tokens").agg(
+        F.collect_list(F.struct("token", "idf")).alias("terms")
+    )
+    scored = (
+        corpus.select("chunk_id", "tokens", "has_tokens", _factor(avg_len).alias("factor"))
+        .join(seeds, "chunk_id")
+        .join(F.broadcast(all_terms), "query_id")
+    )
+    counts = F.col("has_tokens") & F.col("query_has_tokens")
+    full = scored.select(
+        "query_id",
+        F.when(counts, _term_sum(F.col("terms"), F.col("tokens"), lambda t: F.lit(1.0))).otherwise(F.lit(0.0)).alias("overlap"),
+        (F.col("factor") * _term_sum(F.col("terms"), F.col("tokens"), lambda t: t["idf"])).alias("bm25"),
+    )
+    return (
+        full.groupBy("query_id")
+        .agg(F.count("*").alias("n"), F.min("overlap").alias("min_overlap"), F.min("bm25").alias("min_bm25"))
+        .where(F.col("n") >= k)
+        .drop("n")
+    )

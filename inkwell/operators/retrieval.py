@@ -15,6 +15,8 @@ per ``(bucket, query)`` all run inside that one partitioning, so matched
 query do. A token held by a third of all chunks costs no more than its share
 of each bucket. Query terms are broadcast only after a count shows that they
 are few; larger query sets use a shuffled token join with salted hot tokens.
+Where queries times chunks is large, :mod:`inkwell.operators.pruned` keeps
+frequent tokens from producing candidates at all, with the same result.
 """
 
 from __future__ import annotations
@@ -319,15 +321,49 @@ def rerank_by_model(fused: DataFrame, scores: DataFrame, limit: int, then_by: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame:
-    pairs = pair_scores(queries, chunks, **kw)
+def _worth_pruning(queries: DataFrame, chunks: DataFrame, settings: Settings) -> bool:
+    """Whether the worst case of full scoring is large. Two counts; the chunk count of a stored table reads no data."""
+    if "scope_id" in chunks.columns:
+        return False
+    terms = query_terms(queries).limit(settings.broadcast_max_rows + 1).count()
+    return terms * chunks.count() > settings.prune_above
+
+
+def pruned_lists(
+    queries: DataFrame, chunks: DataFrame, k: int, scopes: DataFrame | None, settings: Settings
+) -> DataFrame | None:
+    """Ranked lists by exact pruning where it pays, else None."""
+    if scopes is not None or not _worth_pruning(queries, chunks, settings):
+        return None
+    from inkwell.operators import pruned
+
+    return pruned.ranked_lists(queries, chunks, k, settings)
+
+
+def _one_side(lists: DataFrame, side: str) -> DataFrame:
+    rank, score = F.col(f"{side}_rank"), F.col(f"{side}_score")
+    return lists.where(rank.isNotNull()).select("query_id", "chunk_id", "pos", rank.alias("rank"), score.alias("score"))
+
+
+def lexical_search(
+    queries: DataFrame, chunks: DataFrame, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    lists = pruned_lists(queries, chunks, k, scopes, settings)
+    if lists is not None:
+        return _one_side(lists, "dense")
+    pairs = pair_scores(queries, chunks, scopes, settings)
     return top_candidates(pairs, k, "overlap").select(
         "query_id", "chunk_id", "pos", "rank", F.col("overlap").alias("score")
     )
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame:
-    pairs = pair_scores(queries, chunks, **kw)
+def bm25_search(
+    queries: DataFrame, chunks: DataFrame, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    lists = pruned_lists(queries, chunks, k, scopes, settings)
+    if lists is not None:
+        return _one_side(lists, "sparse")
+    pairs = pair_scores(queries, chunks, scopes, settings)
     return top_candidates(pairs, k, "bm25").select(
         "query_id", "chunk_id", "pos", "rank", F.col("bm25").alias("score")
     )
@@ -344,5 +380,7 @@ def hybrid_search(
     """Overlap and BM25 candidates, fused and reranked; ``limit`` hits per query."""
     limit = settings.retrieval_limit if limit is None else limit
     k = settings.candidates_for(limit)
-    pairs = pair_scores(queries, chunks, scopes, settings, corpus)
-    return rerank_by_sum(fuse(ranked_lists(pairs, k), k), limit)
+    lists = pruned_lists(queries, chunks, k, scopes, settings)
+    if lists is None:
+        lists = ranked_lists(pair_scores(queries, chunks, scopes, settings, corpus), k)
+    return rerank_by_sum(fuse(lists, k), limit)

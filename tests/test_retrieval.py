@@ -52,6 +52,15 @@ def test_shuffled_path_equals_broadcast_path(spark, sf):
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
 
 
+def test_pruned_lists_equal_full_scoring(spark, sf):
+    docs, asked = WQ.document_chunks(spark, sf), WQ.benchmark_queries(spark, sf)
+    cols = ["query_id", "chunk_id", "dense_rank", "sparse_rank", "dense_score", F.round("sparse_score", 6).alias("s")]
+    for k in (1, 5, 20):
+        full = R.ranked_lists(R.pair_scores(asked, docs), k).select(*cols)
+        pruned = R.pruned_lists(asked, docs, k, None, Settings(prune_above=0)).select(*cols)
+        assert full.exceptAll(pruned).isEmpty() and pruned.exceptAll(full).isEmpty()
+
+
 def test_search_does_not_depend_on_partitions_or_order(spark, sf):
     docs, asked = WQ.document_chunks(spark, sf), WQ.benchmark_queries(spark, sf)
     a = R.hybrid_search(asked, docs).select("query_id", "chunk_id", "rank", "score")
