@@ -156,3 +156,27 @@ def test_uploads_finish_once(spark, tmp_path):
     rows = [("u", 0, 3), ("u", 2, 3), ("u", 2, 3), ("u", 1, 3), ("u", 1, 3), ("v", 0, 2)]
     got = _stream(spark, tmp_path, rows, "upload_id string, part_index int, total_chunks int", 6, feeds.track_uploads, "up", feeds.run_updates)
     assert [(r.upload_id, r.total_chunks) for r in got] == [("u", 3)]
+
+
+def test_clean_html(spark):
+    df = spark.createDataFrame([("a &amp; b\n\n&lt;c&gt;",), ("plain  text",), (None,)], "t string")
+    assert [r[0] for r in df.select(ingest.clean_html(F.col("t"))).collect()] == ["a & b <c>", "plain text", None]
+
+
+def test_memory_context_blocks(spark):
+    now = datetime(2024, 6, 1)
+    runs = spark.createDataFrame(
+        [("p", "s", 1, "how are alpha results", "alpha works well. more", now)],
+        "project_id string, session_id string, sequence_id int, user_query string, answer string, updated_at timestamp",
+    )
+    asked = spark.createDataFrame(
+        [(1, "p", "s", "alpha again"), (2, "q", "t", "nothing here")], "query_id int, project_id string, session_id string, query string"
+    )
+    facts = M.upsert_facts(M.fact_drafts(runs))
+    out = M.memory_context(asked, M.working_rows(runs), M.episodic_rows(runs), facts, runs, F.lit(now))
+    rows = {r.query_id: r for r in out.collect()}
+    assert rows[1].session_context == "- 用户#1: how are alpha results\n  助手#1: alpha works well. more"
+    assert rows[1].working_context == "- turn_1_query: how are alpha results\n- turn_1_answer: alpha works well. more"
+    assert rows[1].episodic_context == "- [research_run] how are alpha results -> alpha works well. more"
+    assert "- fact.answer_alpha_works_well_more: alpha works well. more" in rows[1].semantic_context
+    assert rows[2].memory_context.count("yet") == 3
