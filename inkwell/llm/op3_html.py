@@ -106,6 +106,9 @@ class _Page:
         self.blocks: list[tuple[str, int, list[int]]] = []
         self.hashes: dict[int, int] = {}
         self.numbers = 0
+        self.paragraphs = 0
+        self.anchors = 0
+        self.linked = 0
         self._parse(source)
 
     def _parse(self, s: str) -> None:
@@ -145,28 +148,28 @@ class _Page:
         if self.stack and self.stack[-1].name in RAW:
             return
         self.text.append(html.unescape(data) if "&" in data else data)
+        if self.anchors:
+            self.linked += len(data)
 
     def _flush(self) -> None:
         if not self.text:
             return
         text = " ".join("".join(self.text).split())
-        self.text = []
+        self.text, linked, self.linked = [], self.linked, 0
         if not text:
             return
-        raw = text.encode("utf-8", "surrogatepass")
-        linked = any(e.name == "a" for e in self.stack)
-        for e in self.stack:
-            e.digest.update(raw)
-            e.length += len(text)
-            e.links += len(text) * linked
         top = self.stack[-1] if self.stack else None
+        if top is not None:
+            top.digest.update(text.encode("utf-8", "surrogatepass"))
+            top.length += len(text)
+            top.links += linked
         if top is None or not top.dropped:
             self.blocks.append((text, top.place if top else BODY, [e.number for e in self.stack if e.name in CONTAINERS]))
 
     def _open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self._flush()
-            if any(e.name in IN_P for e in reversed(self.stack)) and name not in ("html", "body", "head"):
+            if self.paragraphs:
                 self._end_paragraph()
         elif name in ("br", "wbr"):
             self.text.append(" " if name == "br" else "")
@@ -187,6 +190,8 @@ class _Page:
         elif name == "main" or re.search(r"role\s*=\s*[\"']?main\b", attributes):
             place = max(place, MAIN)
         self.numbers += 1
+        self.paragraphs += name in IN_P
+        self.anchors += name == "a"
         self.stack.append(_Element(name, dropped, place, self.numbers))
 
     def _end_paragraph(self) -> None:
@@ -219,9 +224,14 @@ class _Page:
         if self.stack[-1].name in BLOCKS or len(self.stack) == 1:
             self._flush()
         e = self.stack.pop()
+        self.paragraphs -= e.name in IN_P
+        self.anchors -= e.name == "a"
         value = e.digest.intdigest()
         if self.stack:
-            self.stack[-1].digest.update(value.to_bytes(8, "little"))
+            above = self.stack[-1]
+            above.digest.update(value.to_bytes(8, "little"))
+            above.length += e.length
+            above.links += e.links
         if e.length and (e.place == BODY or e.name in CONTAINERS):
             template = e.place == BODY or 2 * e.links >= e.length
             if template and e.name not in KEPT:
