@@ -273,6 +273,7 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.005) -> D
     counted = seen.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     hosts = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     template = counted.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    template = stage(template, "template")
     around = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten("blocks.inside"))).alias("subtree"))
     hit = around.join(template, ["host", "subtree"]).groupBy("uid").agg(F.collect_set("subtree").alias("template"))
 

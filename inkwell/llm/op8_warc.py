@@ -370,6 +370,7 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
     )
     name = lambda page, uid: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), uid, F.lit(">"))
     again = F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid"))
+    first = stage(first, "first")
     return rows.join(first, "digest", "left").select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         name(F.col("page_id"), F.col("uid")).alias("record_id"),
