@@ -26,6 +26,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # a store is closed, and its local files go, when its task has committed
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
