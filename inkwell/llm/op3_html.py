@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import numbered, stage, table
+from inkwell.llm.common import bounded, numbered, stage, table
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -262,8 +262,11 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.005) -> DataFrame:
-    """Returns page_id, url, text. A subtree is template from ``min_pages`` distinct pages and ``min_share`` of its host's."""
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.005, broadcast_rows: int = 200_000) -> DataFrame:
+    """Returns page_id, url, text. A subtree is template from ``min_pages`` distinct pages and ``min_share`` of its host's.
+
+    ``broadcast_rows`` bounds the broadcast of pages whose blocks stand in a template; more are joined by a shuffle.
+    """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = numbered(pages.select("page_id", "url", host.alias("host"), "html"), "uid")
     parsed = rows.mapInArrow(_parse_rows, f"page_id {_type(pages, 'page_id')}, url string, host string, {PARSED_SQL}")
@@ -279,6 +282,7 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.005) -> D
 
     clean = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.arrays_overlap(b["inside"], F.col("template")))
     text = F.array_join(F.transform(clean, lambda b: b["text"]), "\n")
+    hit = bounded(stage(hit, "hit"), broadcast_rows)
     return parsed.join(hit, "uid", "left").select("page_id", "url", text.alias("text"))
 
 
