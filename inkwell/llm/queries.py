@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from inkwell.llm import op1_quality, op2_mixing, op3_html, op6_decontaminate, op7_minhash, op8_warc, op9_pii, op10_exact_dedup
+from inkwell.llm import (
+    op1_quality, op2_mixing, op3_html, op4_toxicity, op5_licenses, op6_decontaminate, op7_minhash, op8_warc, op9_pii, op10_exact_dedup,
+)
 
 QUERIES = {
     "op1_quality": op1_quality.query,
     "op2_mixing": op2_mixing.query,
     "op3_html_extraction": op3_html.query,
+    "op4_toxicity": op4_toxicity.query,
+    "op5_licenses": op5_licenses.query,
     "op6_decontaminate": op6_decontaminate.query,
     "op7_minhash_near_dedup": op7_minhash.query,
     "op8_warc": op8_warc.query,
