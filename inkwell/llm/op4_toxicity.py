@@ -3,7 +3,7 @@
 Learning. Labelled rows with crc32(doc_id) mod 5 <> 0 are the learning rows. Of each label at most ``per_label`` of them,
 in hash order, form a bounded sample; nine tenths are examples of the index, one tenth calibrates. Features are words and
 word beginnings of four and five characters; Spark counts their document frequencies by label, and the features
-whose frequencies differ most (G statistic, with a least support) form the vocabulary. Near copies among the sample are
+whose frequencies differ most (G statistic, with a least support and ratio) form the vocabulary. Near copies among the sample are
 counted once, so that a text posted often does not turn its rare words into evidence.
 
 Index. Examples are TF-IDF vectors of unit length over the vocabulary. Examples with alike features stand together; postings
@@ -193,8 +193,11 @@ def sample_ids(labels: DataFrame, per_label: int) -> DataFrame:
     return marked.where(place < share).select("doc_id", "toxic", F.lit(counts.get(1, 0) / max(1, sum(counts.values()))).alias("base"))
 
 
-def _select_features(kept: DataFrame, totals: tuple[int, int], size: int, least: int, least_g: float = 15.0) -> list[tuple[str, int]]:
-    """The features whose document frequency differs most between the labels, with their document frequency."""
+def _select_features(kept: DataFrame, totals: tuple[int, int], size: int, least: int, least_g: float = 15.0, ratio: float = 3.0) -> list[tuple[str, int]]:
+    """The features whose document frequency differs most between the labels, with their document frequency.
+
+    The frequencies must differ ``ratio`` times, so common words that follow a text's length or language stay out.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,6 +221,8 @@ def _select_features(kept: DataFrame, totals: tuple[int, int], size: int, least:
         part(a, seen * n1 / (n1 + n0)) + part(b, seen * n0 / (n1 + n0))
         + part(n1 - a, (n1 + n0 - seen) * n1 / (n1 + n0)) + part(n0 - b, (n1 + n0 - seen) * n0 / (n1 + n0))
     )
+    high, low = F.greatest(a / n1, b / n0), F.least(a / n1, b / n0)
+    counts = counts.where(high >= ratio * low)
     best = counts.select("feature", seen.alias("df"), (2 * g).alias("g")).where(F.col("g") > least_g).orderBy(F.col("g").desc(), "feature").limit(size)
     return [(r["feature"], int(r["df"])) for r in best.collect()]
 
