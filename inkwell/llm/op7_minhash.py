@@ -5,12 +5,13 @@ shingle of all words if there are fewer). Under each of 64 permutations both the
 kept, so 128 signature values cost 64 hash evaluations; each agrees with probability J. They form 32 bands of 4.
 
 1. Documents with equal sets become one class, so groups of copies are one node from here on.
-2. In every bucket of a band each class is paired with the bucket's smallest class only. Pairs that size and a
-   128-bit sketch do not rule out are confirmed on their full sets, and the links are joined to components.
-3. Buckets that still hold several components are paired across components, and the survivors confirmed likewise.
-   Together the two rounds consider every pair of a bucket unless it is already connected, so no bucket is capped
-   and no link between different texts of a bucket is lost. A pair with J = 0.75 shares no bucket with probability 5e-6
-   (4e-8 for 0.8), and the sketch rejects it with probability below 1e-6.
+2. In every bucket of a band each class is paired with one hub, drawn by hash. Pairs that size and a sketch of
+   four bits per signature value do not rule out are confirmed on their full sets, and the links are joined to components.
+   A second round draws new hubs in the buckets that still hold several components.
+3. Buckets that hold several components even then are paired across components, and the survivors confirmed likewise.
+   Together the rounds consider every pair of a bucket unless it is already connected, so no bucket is capped and
+   no link between different texts of a bucket is lost. A pair with J = 0.75 shares no bucket with probability 5e-6
+   (4e-8 for 0.8), and the sketch rejects it with probability below 1e-5.
 
 Defined results: a document without words has an empty set, no links and is its own component; null identifiers are
 never the smallest; repeated rows are copies; an empty table gives an empty result; other columns are not read.
@@ -33,7 +34,9 @@ from inkwell.llm.components import components
 SHINGLE = 5
 PERMUTATIONS = 64
 BAND_ROWS = 4
-SKETCH_LIMIT = 36
+SKETCH_WORDS = 8
+SKETCH_LIMIT = 52
+STAR_ROUNDS = 2
 CACHE_WORDS = 1_000_000
 
 _random = np.random.default_rng(7)
@@ -67,7 +70,7 @@ def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
     if n == 0:
         return values
     if n < SHINGLE:
-        return _mixed(np.array([(values * POSITION[:n]).sum(dtype=np.uint64) + SHORT[n]], np.uint64))
+        return _mixed((values * POSITION[:n]).sum(dtype=np.uint64, keepdims=True) + SHORT[n : n + 1])
     total = values[: n - SHINGLE + 1] * POSITION[0]
     for i in range(1, SHINGLE):
         total += values[i : n - SHINGLE + 1 + i] * POSITION[i]
@@ -96,12 +99,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """One bit of each signature value, in two words."""
-    bits = (_mixed(values) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """Four bits of each signature value, in SKETCH_WORDS words."""
+    bits = (_mixed(values) & np.uint64(15)).astype(np.uint8)
+    return (bits[0::2] | (bits[1::2] << 4)).view(np.int64)
 
 
-SIGNED = "uid bigint, {id} n bigint, digest binary, sk0 bigint, sk1 bigint, bands array<bigint>"
+SIGNED = "uid bigint, {id} n bigint, digest binary, sketch array<bigint>, bands array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         size, digests = [], []
-        sketches = np.zeros((batch.num_rows, 2), np.int64)
+        sketches = np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
         keys, offsets = [], [0]
         for i in range(batch.num_rows):
             shingles = shingle_set(texts[i].as_py(), hashes)
@@ -123,8 +126,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         arrays = [batch.column("uid"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary())]
-        arrays += [pa.array(sketches[:, 0]), pa.array(sketches[:, 1]), bands]
-        yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "n", "digest", "sk0", "sk1", "bands"])
+        places = pa.array(np.arange(0, sketches.size + 1, SKETCH_WORDS), pa.int32())
+        arrays += [pa.ListArray.from_arrays(places, pa.array(sketches.ravel())), bands]
+        yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "n", "digest", "sketch", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +159,18 @@ def _confirm(percent: int):
     return confirm
 
 
+NIBBLES = 0x1111111111111111
+
+
 def _plausible(percent: int):
     """Pairs that neither the sizes nor the sketches rule out."""
     sizes = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    distance = F.bit_count(F.col("a.sk0").bitwiseXOR(F.col("b.sk0"))) + F.bit_count(F.col("a.sk1").bitwiseXOR(F.col("b.sk1")))
+    distance = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        x = F.get("a.sketch", F.lit(i)).bitwiseXOR(F.get("b.sketch", F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        distance = distance + F.bit_count(x.bitwiseAND(F.lit(NIBBLES)))
     return sizes & (distance <= SKETCH_LIMIT)
 
 
@@ -169,45 +181,67 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(both.mapInArrow(_confirm(percent), "u bigint, v bigint"), "links")
 
 
+def _star(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v), u larger, of every row with its bucket's hub unless both are connected already."""
+    drawn = rows.withColumn("draw", F.xxhash64("node", "key", F.lit(turn)))
+    hubs = stage(drawn.groupBy("key").agg(F.min("draw").alias("draw")), "draws")
+    hubs = stage(drawn.join(hubs, ["key", "draw"]).select("key", F.col("node").alias("hub"), F.col("part").alias("hub_part")), "hubs")
+    pairs = rows.join(hubs, "key").where("part <> hub_part")
+    return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches leave."""
+    some = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.node")).join(sketches.alias("b"), F.col("v") == F.col("b.node"))
+    return stage(some.where(_plausible(percent)).select("u", "v"), "pairs")
+
+
+def _mixed_buckets(placed: DataFrame) -> DataFrame:
+    """Rows (key, node, part, main) of the buckets that hold more than one component; main is their largest."""
+    placed = stage(placed, "placed")
+    tally = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+    mixed = tally.groupBy("key").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return stage(placed.join(stage(mixed.select("key", F.col("most.part").alias("main")), "mixed"), "key"), "mixed-rows")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Returns the numbered rows (uid, row) and one decision per row: uid, doc_id, n, component_id, keep_uid.
 
     Links have 100 * intersection >= ``percent`` * union. ``percent`` below 75 would need more and narrower bands.
     """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "uid"), "rows")
-    texts = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    source = stage(numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "uid"), "rows")
+    texts = source.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     signed = stage(texts.mapInArrow(_sign, SIGNED.format(id=f"doc_id {kind},")), "signed")
 
     key = ["n", "digest"]
     classes = stage(signed.where("n > 0").groupBy(*key).agg(F.min("uid").alias("node")), "classes")
     member = stage(signed.where("n > 0").select("uid", "doc_id", *key).join(classes, key).select("uid", "doc_id", "node"), "members")
-    nodes = signed.join(classes.select(F.col("node").alias("uid")), "uid").select(F.col("uid").alias("node"), "n", "sk0", "sk1", "bands")
-    in_band = stage(nodes.select("node", "n", "sk0", "sk1", F.explode("bands").alias("key")), "bands")
-
-    buckets = in_band.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stage(in_band.join(stage(buckets.select("key", "hub"), "buckets"), "key"), "shared")
-    hubs = stage(shared.where("node = hub").select("node", "n", "sk0", "sk1").distinct(), "hubs")
-
-    involved = shared.select(F.col("node").alias("uid")).distinct()
-    near = texts.select("uid", "text").join(bounded(stage(involved, "involved"), broadcast_rows), "uid")
+    nodes = signed.join(classes.select(F.col("node").alias("uid")), "uid").select(F.col("uid").alias("node"), "n", "sketch", "bands")
+    in_band = stage(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    buckets = stage(in_band.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "buckets")
+    shared = stage(in_band.join(buckets, "key"), "shared")
+    involved = stage(shared.select(F.col("node").alias("uid")).distinct(), "involved")
+    near = texts.select("uid", "text").join(bounded(involved, broadcast_rows), "uid")
     sets = stage(near.mapInArrow(_sets, "uid bigint, shingles binary"), "sets")
-
-    to_hub = shared.where("node <> hub").select("node", "hub", "n", "sk0", "sk1").distinct()
-    pairs = to_hub.alias("a").join(hubs.alias("b"), F.col("a.hub") == F.col("b.node")).where(_plausible(percent))
-    first = _links(stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "pairs"), sets, percent)
-    part = stage(components(first), "components")
-
-    placed = shared.join(part, "node", "left").select("key", "node", "n", "sk0", "sk1", F.coalesce("component", "node").alias("part"))
-    placed = stage(placed, "placed")
-    tally = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
-    mixed = tally.groupBy("key").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = stage(placed.join(stage(mixed.select("key", F.col("most.part").alias("main")), "mixed"), "key"), "open")
+    sketches = stage(nodes.select("node", "n", "sketch").join(involved.select(F.col("uid").alias("node")), "node"), "sketches")
+
+    rows = shared.withColumn("part", F.col("node"))
+    links = spark.createDataFrame([], "u bigint, v bigint")
+    tried, part = links, None
+    for turn in range(STAR_ROUNDS):
+        pairs = stage(_star(rows, turn).join(tried, ["u", "v"], "left_anti"), "star")
+        tried = tried.union(pairs)
+        links = links.union(_links(_sketched(pairs, sketches, percent), sets, percent))
+        part = stage(components(links), "components")
+        rows = _mixed_buckets(shared.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+
+    open_rows = stage(rows.join(sketches, "node"), "open")
     few, every = open_rows.where("part <> main").alias("a"), open_rows.alias("b")
     apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     crossing = few.join(every, (F.col("a.key") == F.col("b.key")) & apart & _plausible(percent))
     crossing = crossing.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    tried = pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
     second = _links(stage(crossing.join(tried, ["u", "v"], "left_anti"), "pairs"), sets, percent)
 
     whole = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
@@ -223,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_
         F.when(F.col("grouped"), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("least_uid", "uid").alias("keep_uid"),
     )
-    return rows, decisions
+    return source, decisions
 
 
 def deduplicated(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
