@@ -7,10 +7,11 @@ kept, so 128 signature values cost 64 hash evaluations; each agrees with probabi
 1. Documents with equal sets become one class, so groups of copies are one node from here on.
 2. In every bucket of a band each class is paired with one hub, drawn by hash. Pairs that size and a sketch of
    four bits per signature value do not rule out are confirmed on their full sets, and the links are joined to components.
-   A second round draws new hubs in the buckets that still hold several components.
-3. Buckets that hold several components even then are paired across components, and the survivors confirmed likewise.
-   Together the rounds consider every pair of a bucket unless it is already connected, so no bucket is capped and
-   no link between different texts of a bucket is lost. A pair with J = 0.75 shares no bucket with probability 5e-6
+3. Buckets that still hold several components are searched across components. Buckets of up to ``SMALL`` classes are
+   paired and confirmed as before. Larger ones that share classes form a group; a group is cut into blocks of about
+   ``BLOCK`` classes, and one task per pair of blocks counts all shared shingles in a matrix product and returns at
+   most one link per pair of components. Together these consider every pair of a bucket unless it is already
+   connected, so no bucket is capped and no link between different texts of a bucket is lost. A pair with J = 0.75 shares no bucket with probability 5e-6
    (4e-8 for 0.8), and the sketch rejects it with probability below 1e-5.
 
 Defined results: a document without words has an empty set, no links and is its own component; null identifiers are
@@ -23,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,9 @@ PERMUTATIONS = 64
 BAND_ROWS = 4
 SKETCH_WORDS = 8
 SKETCH_LIMIT = 52
-STAR_ROUNDS = 2
+SMALL = 64
+BLOCK = 256
+COLUMNS = 8192
 CACHE_WORDS = 1_000_000
 
 _random = np.random.default_rng(7)
@@ -181,9 +185,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(both.mapInArrow(_confirm(percent), "u bigint, v bigint"), "links")
 
 
-def _star(rows: DataFrame, turn: int) -> DataFrame:
+def _star(rows: DataFrame) -> DataFrame:
     """Pairs (u, v), u larger, of every row with its bucket's hub unless both are connected already."""
-    drawn = rows.withColumn("draw", F.xxhash64("node", "key", F.lit(turn)))
+    drawn = rows.withColumn("draw", F.xxhash64("node", "key"))
     hubs = stage(drawn.groupBy("key").agg(F.min("draw").alias("draw")), "draws")
     hubs = stage(drawn.join(hubs, ["key", "draw"]).select("key", F.col("node").alias("hub"), F.col("part").alias("hub_part")), "hubs")
     pairs = rows.join(hubs, "key").where("part <> hub_part")
@@ -197,11 +201,57 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed_buckets(placed: DataFrame) -> DataFrame:
-    """Rows (key, node, part, main) of the buckets that hold more than one component; main is their largest."""
+    """Rows (key, node, part, main, m) of the buckets with more than one component; main is the largest, m their size."""
     placed = stage(placed, "placed")
     tally = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
-    mixed = tally.groupBy("key").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return stage(placed.join(stage(mixed.select("key", F.col("most.part").alias("main")), "mixed"), "key"), "mixed-rows")
+    most = F.max(F.struct("m", "part")).alias("most")
+    mixed = tally.groupBy("key").agg(most, F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1")
+    return stage(placed.join(stage(mixed.select("key", F.col("most.part").alias("main"), "m"), "mixed"), "key"), "mixed-rows")
+
+
+def _products(percent: int):
+    """Links between different components of two blocks, from one matrix of shared shingle counts."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node").drop_duplicates("node")
+        sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = np.flatnonzero(count > 1)
+        place = np.full(len(count), -1, np.int64)
+        place[often] = np.arange(len(often))
+        column = place[column]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, len(often), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            matrix = np.zeros((len(sets), min(COLUMNS, len(often) - at)), np.float32)
+            matrix[owner[lo:hi], column[lo:hi] - at] = 1
+            shared += matrix @ matrix.T
+        part, node = rows["part"].to_numpy(), rows["node"].to_numpy()
+        union = sizes[:, None] + sizes[None, :] - shared
+        i, j = np.nonzero(np.triu((100 * shared >= percent * union) & (part[:, None] != part[None, :])))
+        found = pd.DataFrame({"u": np.maximum(node[i], node[j]), "v": np.minimum(node[i], node[j])})
+        found["a"], found["b"] = np.maximum(part[i], part[j]), np.minimum(part[i], part[j])
+        return found.drop_duplicates(["a", "b"])[["u", "v"]]
+
+    return links
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in large buckets, by pairs of blocks."""
+    first = rows.groupBy("key").agg(F.min("node").alias("first"))
+    edges = rows.select("key", "node").join(stage(first, "first"), "key").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    group = stage(components(edges), "large")
+    sizes = stage(group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes")
+    member = group.join(sizes, "component").join(rows.select("node", "part").distinct(), "node")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    spread = stage(member.select("component", "node", "part", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "spread")
+    filled = spread.join(sets.select(F.col("uid").alias("node"), "shingles"), "node")
+    return stage(filled.groupBy("component", "x", "y").applyInPandas(_products(percent), "u bigint, v bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +259,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_
 
     Links have 100 * intersection >= ``percent`` * union. ``percent`` below 75 would need more and narrower bands.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = stage(numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "uid"), "rows")
     texts = source.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
@@ -227,22 +276,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_
     sets = stage(near.mapInArrow(_sets, "uid bigint, shingles binary"), "sets")
     sketches = stage(nodes.select("node", "n", "sketch").join(involved.select(F.col("uid").alias("node")), "node"), "sketches")
 
-    rows = shared.withColumn("part", F.col("node"))
-    links = spark.createDataFrame([], "u bigint, v bigint")
-    tried, part = links, None
-    for turn in range(STAR_ROUNDS):
-        pairs = stage(_star(rows, turn).join(tried, ["u", "v"], "left_anti"), "star")
-        tried = tried.union(pairs)
-        links = links.union(_links(_sketched(pairs, sketches, percent), sets, percent))
-        part = stage(components(links), "components")
-        rows = _mixed_buckets(shared.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
-
-    open_rows = stage(rows.join(sketches, "node"), "open")
+    pairs = stage(_star(shared.withColumn("part", F.col("node"))), "star")
+    links = _links(_sketched(pairs, sketches, percent), sets, percent)
+    part = stage(components(links), "components")
+    rows = _mixed_buckets(shared.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+
+    open_rows = stage(rows.where(F.col("m") <= SMALL).join(sketches, "node"), "open")
     few, every = open_rows.where("part <> main").alias("a"), open_rows.alias("b")
     apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     crossing = few.join(every, (F.col("a.key") == F.col("b.key")) & apart & _plausible(percent))
     crossing = crossing.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    second = _links(stage(crossing.join(tried, ["u", "v"], "left_anti"), "pairs"), sets, percent)
+    second = _links(stage(crossing.join(pairs, ["u", "v"], "left_anti"), "pairs"), sets, percent)
+    second = second.union(_block_links(rows.where(F.col("m") > SMALL), sets, percent))
 
     whole = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
     of_node = stage(
