@@ -117,7 +117,7 @@ def schedule(spark: SparkSession, plan: DataFrame, block_words: int = 4096) -> D
     edges = _before(some, "whole", F.floor(F.col("sid") / 4096), ["sid"], F.col("needed"), "low") if total else some.withColumn("low", F.lit(0))
     edges = edges.select(
         "sid", "source_size", "blocks", "goal", "needed",
-        (F.col("low") / total).alias("low"), ((F.col("low") + F.col("needed")) / total).alias("high"),
+        (F.col("low") / max(1, total)).alias("low"), ((F.col("low") + F.col("needed")) / max(1, total)).alias("high"),
     )
     bins = F.sequence(F.floor(F.col("low") * BINS), F.least(F.floor(F.col("high") * BINS), F.lit(BINS - 1)))
     edges = edges.withColumn("bin", F.explode(bins))

@@ -143,6 +143,7 @@ class _Page:
                     at = end if close is None else close.start()
         while self.stack:
             self._pop()
+        self._flush()
 
     def _data(self, data: str) -> None:
         if self.stack and self.stack[-1].name in RAW:
