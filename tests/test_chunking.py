@@ -1,62 +1,35 @@
-"""Chunking against a plain fold written from the documented behaviour."""
+"""Chunking: hand-written golden cases, and properties on random input."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.config import Settings
+from inkwell.functions.text import token_count
 from inkwell.operators import chunking as C
 from inkwell.session import table
 
-SENTENCES = re.compile(r".+?(?:[。！？!?；;]+|(?<=[.!?])\s+|$)", re.S)
-TOKENS = re.compile(r"[一-鿿]|[a-zA-Z0-9_./-]+|\S")
 
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", F.transform(C.sentence_spans(F.col("t")), lambda s: s["text"]).alias("s")).collect()
+    return [r.s for r in sorted(rows, key=lambda r: r.i)]
 
-def count(text):
-    return len(TOKENS.findall(text))
 
-
-def paragraphs(text):
-    block = []
-    for line in text.strip().splitlines() + [""]:
-        if line.strip():
-            block.append(line.strip())
-        elif block:
-            yield " ".join(block)
-            block = []
-
-
-def sentences(text):
-    return [s.strip() for p in paragraphs(text) for s in SENTENCES.findall(p) if s.strip()]
-
-
-def cut(parts, budget):
-    for part in parts:
-        toks = TOKENS.findall(part)
-        if len(toks) <= budget:
-            yield part
-        else:
-            for i in range(0, len(toks), budget):
-                yield " ".join(toks[i : i + budget])
-
-
-def pack(parts, budget, overlap):
-    budget = max(budget, 32)
-    overlap = max(0, min(overlap, budget // 2))
-    done, open_group = [], []
-    for part in cut(parts, budget):
-        if open_group and sum(map(count, open_group)) + count(part) > budget:
-            done.append(open_group)
-            tail = []
-            for item in reversed(open_group if overlap else []):
-                if tail and sum(map(count, tail)) + count(item) > overlap:
-                    break
-                tail = [item, *tail]
-            open_group = tail
-        open_group = [*open_group, part]
-    return done + ([open_group] if open_group else [])
+def test_sentences_golden(spark):
+    cases = {
+        "": [],
+        "One. Two! Three?": ["One.", "Two!", "Three?"],
+        "No end here": ["No end here"],
+        "wrapped\nline. next": ["wrapped line.", "next"],
+        "first block\n\nsecond block": ["first block", "second block"],
+        "v1.2 stays whole. Yes": ["v1.2 stays whole.", "Yes"],
+        "语义。检索！": ["语义。", "检索！"],
+        "half；rest": ["half；", "rest"],
+        " \n \n ": [],
+    }
+    assert spans_of(spark, list(cases)) == list(cases.values())
 
 
 @pytest.fixture(scope="module")
@@ -66,36 +39,56 @@ def texts():
     return ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 160))) for _ in range(150)]
 
 
-def test_sentences_match_fold(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.s for r in df.select("i", F.transform(C.sentence_spans(F.col("t")), lambda s: s["text"]).alias("s")).collect()}
-    assert got == {i: sentences(t) for i, t in enumerate(texts)}
+def test_sentences_keep_every_character_in_order(spark, texts):
+    for text, found in zip(texts, spans_of(spark, texts), strict=True):
+        assert "".join("".join(found).split()) == "".join(text.split())
+        assert all(s and s == s.strip() for s in found)
+
+
+def test_pack_golden():
+    assert C.pack_sizes([], [], 40) == []
+    assert C.pack_sizes([0, 0, 0], [20, 20, 20], 40) == [(0, 1), (2, 2)]
+    assert C.pack_sizes([0, 0, 0], [20, 20, 20], 40, 20) == [(0, 1), (1, 2)]
+    assert C.pack_sizes([0, 1], [5, 5], 40) == [(0, 0), (1, 1)]
+    assert C.pack_sizes([0, 0], [16, 16], 8) == [(0, 1)]  # a budget is at least 32
 
 
-def test_pack_sizes_against_fold():
+def test_pack_properties():
     rnd = random.Random(5)
     for _ in range(300):
-        sizes = [rnd.randint(1, 60) for _ in range(rnd.randint(0, 40))]
-        budget, overlap = rnd.randint(10, 120), rnd.randint(0, 60)
-        budget_used = max(budget, 32)
-        sizes = [min(s, budget_used) for s in sizes]
-        words = [" ".join(["w"] * s) for s in sizes]
-        groups = C.pack_sizes([0] * len(sizes), sizes, budget, overlap)
-        assert [words[a : b + 1] for a, b in groups] == pack(words, budget, overlap)
-
-
-def test_chunks_match_fold(spark, texts):
-    settings = Settings(parent_tokens=60, child_tokens=32, child_overlap_tokens=8)
-    rows = [(str(i), "T", "note", t) for i, t in enumerate(texts) if "#" not in t]
+        n, budget, overlap = rnd.randint(0, 40), rnd.randint(32, 120), rnd.randint(0, 60)
+        sizes = [min(rnd.randint(1, 60), budget) for _ in range(n)]
+        owners = sorted(rnd.randint(0, 3) for _ in range(n))
+        groups = C.pack_sizes(owners, sizes, budget, overlap)
+        kept = min(overlap, budget // 2)
+        assert {i for a, b in groups for i in range(a, b + 1)} == set(range(n))
+        for a, b in groups:
+            assert owners[a] == owners[b]
+        for (a, b), (c, d) in zip(groups, groups[1:], strict=False):
+            fresh = b + 1
+            assert d >= fresh and c <= fresh
+            if owners[fresh] != owners[b]:
+                assert c == fresh
+                continue
+            assert sum(sizes[a : fresh + 1]) > budget, "the next item would still have fitted"
+            tail = sizes[c:fresh]
+            if kept == 0:
+                assert not tail
+            else:
+                assert len(tail) == 1 or sum(tail) <= kept
+                assert c == a or sum(sizes[c - 1 : fresh]) > kept, "a longer tail would have fitted"
+
+
+def test_two_levels_nest_and_count(spark, texts):
+    settings = Settings(parent_tokens=60, child_tokens=32, child_overlap_tokens=0)
+    rows = [(str(i), "T", "note", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "asset_id string, title string, asset_type string, content string")
-    out = C.chunk_documents(df, settings).orderBy("asset_id", "chunk_id").collect()
+    out = C.chunk_documents(df, settings).withColumn("again", token_count(F.col("content"))).orderBy("asset_id", "chunk_id").collect()
+    squeeze = lambda found: "".join("".join(r.content.split()) for r in found)
     for asset, _, _, text in rows:
-        mine = [r for r in out if r.asset_id == asset]
-        parents = pack(sentences(text), 60, 0)
-        assert [r.content for r in mine if r.chunk_level == "parent"] == [" ".join(g).strip() for g in parents]
-        children = [" ".join(g).strip() for p in parents for g in pack(p, 32, 8)]
-        assert [r.content for r in mine if r.chunk_level == "child"] == children
-        assert all(r.token_count == count(r.content) for r in mine)
+        levels = {level: [r for r in out if r.asset_id == asset and r.chunk_level == level] for level in ("parent", "child")}
+        assert squeeze(levels["parent"]) == squeeze(levels["child"]) == "".join(text.split())
+    assert all(r.again == r.token_count <= (60 if r.chunk_level == "parent" else 32) for r in out)
 
 
 OUTLINE = """lead line
@@ -136,5 +129,5 @@ def test_chunks_of_whole_documents_keep_all_tokens(spark, sf):
     )
     parents = C.chunk_documents(docs).where("chunk_level = 'parent'").groupBy("asset_id").agg(F.sum("token_count").alias("n"))
     have = {r.asset_id: r.n for r in parents.collect()}
-    for r in docs.select("asset_id", "content").collect():
-        assert have.get(r.asset_id, 0) == count(r.content)
+    for r in docs.select("asset_id", token_count(F.col("content")).alias("n")).collect():
+        assert have.get(r.asset_id, 0) == r.n
