@@ -33,8 +33,6 @@ class Settings:
     public_web_enabled: bool = True
     # physical: a table is broadcast only after a count proves it is below this
     broadcast_max_rows: int = 200_000
-    # physical: above this many (query token, chunk) combinations, frequent tokens are pruned exactly
-    prune_above: float = 1e11
     # physical: query vectors that one task may hold as a matrix
     dense_block_rows: int = 4096
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -218,24 +219,35 @@ def live_evidence(results: DataFrame, tags: Column) -> DataFrame:
     )
 
 
-def search_result_rows(payloads: DataFrame) -> DataFrame:
-    """Rows of a recorded search reply ``run_id, query, payload``: abstract, then nested topics, five at most."""
-    topic = "Text:string,FirstURL:string"
-    deep = f"array<struct<{topic},Topics:array<struct<{topic},Topics:array<struct<{topic}>>>>>>"
-    schema = f"AbstractText string, AbstractURL string, Heading string, RelatedTopics {deep}"
-    parsed = payloads.withColumn("p", F.from_json("payload", schema))
-
-    def leaf(t):
-        return F.struct(t["Text"].alias("Text"), t["FirstURL"].alias("FirstURL"))
-
-    def flatten(t, depth):
-        if depth == 0:
-            return F.array(leaf(t))
-        return F.when(t["Topics"].isNull(), F.array(leaf(t))).otherwise(
-            F.flatten(F.transform(t["Topics"], lambda x: flatten(x, depth - 1)))
-        )
+def _leaf_topics(payload: str | None) -> list[tuple[str | None, str | None]]:
+    """Text and address of the topics without subtopics, at any depth, in reply order; none for malformed replies."""
+    try:
+        reply = json.loads(payload or "null")
+    except ValueError:
+        return []
+
+    def children(x, key):
+        found = x.get(key) if isinstance(x, dict) else None
+        return found[::-1] if isinstance(found, list) else None
+
+    def string(x):
+        return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
-    topics = F.flatten(F.transform(F.coalesce(F.col("p.RelatedTopics"), F.array().cast(deep)), lambda t: flatten(t, 2)))
+    waiting, leaves = children(reply, "RelatedTopics") or [], []
+    while waiting:
+        topic = waiting.pop()
+        below = children(topic, "Topics")
+        if below is not None:
+            waiting += below
+        elif isinstance(topic, dict):
+            leaves.append((string(topic.get("Text")), string(topic.get("FirstURL"))))
+    return leaves
+
+
+def search_result_rows(payloads: DataFrame) -> DataFrame:
+    """Rows of a recorded search reply ``run_id, query, payload``: abstract, then topics of any depth, five at most."""
+    parsed = payloads.withColumn("p", F.from_json("payload", "AbstractText string, AbstractURL string, Heading string"))
+    topics = F.udf(_leaf_topics, "array<struct<Text:string,FirstURL:string>>", useArrow=True)(F.col("payload"))
     heading = F.coalesce(F.nullif(F.col("p.Heading"), F.lit("")), F.col("query"))
     search_url = F.concat(F.lit("https://duckduckgo.com/?q="), F.url_encode("query"))
     first_text = T.collapse_spaces(F.coalesce("p.AbstractText", F.lit("")))

@@ -1,3 +1,4 @@
+import json
 import math
 import re
 
@@ -52,15 +53,6 @@ def test_shuffled_path_equals_broadcast_path(spark, sf):
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
 
 
-def test_pruned_lists_equal_full_scoring(spark, sf):
-    docs, asked = WQ.document_chunks(spark, sf), WQ.benchmark_queries(spark, sf)
-    cols = ["query_id", "chunk_id", "dense_rank", "sparse_rank", "dense_score", F.round("sparse_score", 6).alias("s")]
-    for k in (1, 5, 20):
-        full = R.ranked_lists(R.pair_scores(asked, docs), k).select(*cols)
-        pruned = R.pruned_lists(asked, docs, k, None, Settings(prune_above=0)).select(*cols)
-        assert full.exceptAll(pruned).isEmpty() and pruned.exceptAll(full).isEmpty()
-
-
 def test_search_does_not_depend_on_partitions_or_order(spark, sf):
     docs, asked = WQ.document_chunks(spark, sf), WQ.benchmark_queries(spark, sf)
     a = R.hybrid_search(asked, docs).select("query_id", "chunk_id", "rank", "score")
@@ -138,3 +130,13 @@ def test_replan_runs_for_weak_queries(spark):
     assert V.weak_queries(asked, V.retrieve(RQ.W.rewrite_queries(asked), chunks)).collect()[0].query_id == 2
     top = rows[0]
     assert top.label == "C1" and top.title == "Paper · Intro" and top.source_path == "/assets/a1#intro"
+
+
+def test_topics_of_any_depth(spark):
+    nested = {"Text": "leaf", "FirstURL": "u"}
+    for depth in range(5):
+        nested = {"Name": str(depth), "Topics": [{"Text": f"before {depth}"}, nested]}
+    payloads = [(1, "q", json.dumps({"RelatedTopics": [nested]})), (2, "q", "{broken"), (3, "q", None)]
+    rows = V.search_result_rows(spark.createDataFrame(payloads, "run_id int, query string, payload string")).orderBy("n").collect()
+    assert [r.snippet for r in rows] == [f"before {d}" for d in (4, 3, 2, 1, 0)]
+    assert V._leaf_topics(payloads[0][2])[-1] == ("leaf", "u")
