@@ -63,10 +63,23 @@ def summarize_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def unmatched(records: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Ids that only one side has; a correct evaluation has none."""
-    left = records.select("id", F.lit(1).alias("r"))
-    right = predictions.select("id", F.lit(1).alias("p"))
-    return left.join(right, "id", "full_outer").where(F.col("r").isNull() | F.col("p").isNull())
+    """``id, stage, n_records, n_predictions`` wherever both counts are not one; a correct evaluation has no such row.
+
+    Every stage that occurs must judge every record exactly once; without predictions, or without stages, stage is NULL.
+    """
+    staged = predictions if "stage" in predictions.columns else predictions.withColumn("stage", F.lit(None).cast("string"))
+    stages = staged.agg(F.array_sort(F.collect_set("stage")).alias("stages")).scalar()
+    wanted = records.groupBy("id").agg(F.count(F.lit(1)).alias("n_records")).withColumn("stage", F.explode_outer(stages))
+    given = staged.groupBy("id", "stage").agg(F.count(F.lit(1)).alias("n_predictions"))
+    w, g = wanted.alias("w"), given.alias("g")
+    same = F.col("w.id").eqNullSafe(F.col("g.id")) & F.col("w.stage").eqNullSafe(F.col("g.stage"))
+    zero = F.lit(0).cast("bigint")
+    return w.join(g, same, "full_outer").select(
+        F.coalesce("w.id", "g.id").alias("id"),
+        F.coalesce("w.stage", "g.stage").alias("stage"),
+        F.coalesce("n_records", zero).alias("n_records"),
+        F.coalesce("n_predictions", zero).alias("n_predictions"),
+    ).where("n_records <> 1 OR n_predictions <> 1")
 
 
 def judge(records: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -45,13 +45,16 @@ def register_uploads(requests: DataFrame, settings: Settings = DEFAULTS) -> Data
 
 
 def check_parts(parts: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Adds ``problem`` to every part: out of range, wrong size, or NULL when it counts."""
-    joined = parts.join(uploads.select("upload_id", "file_size", "chunk_size", "total_chunks"), "upload_id")
+    """Adds ``problem`` to every part: unknown upload, out of range, wrong size, or NULL when it counts."""
+    known = uploads.select("upload_id", "file_size", "chunk_size", "total_chunks")
+    joined = parts.join(known, "upload_id", "left")
     index, total = F.col("part_index"), F.col("total_chunks")
     wanted = expected_bytes(index, total, F.col("file_size"), F.col("chunk_size"))
     return joined.withColumn(
         "problem",
-        F.when((index < 0) | (index >= total), "out_of_range").when(F.col("n_bytes") != wanted, "size_mismatch"),
+        F.when(total.isNull(), "unknown_upload")
+        .when((index < 0) | (index >= total), "out_of_range")
+        .when(F.col("n_bytes") != wanted, "size_mismatch"),
     )
 
 

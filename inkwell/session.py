@@ -53,10 +53,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (local tests) gets a temporary folder of its own.
+    Only a local session without that setting (tests) gets a temporary folder of its own; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="inkwell-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -172,11 +172,15 @@ def decision_report(spark, sf):
     return rows.where(F.col("metric").isin("valid_json_rate", "action_accuracy", "argument_match_rate")).select("stage", "metric", "percent")
 
 
-@register("decision_gaps", "SELECT event_id AS id FROM events WHERE false UNION ALL SELECT -1")
+@register(
+    "decision_gaps",
+    """SELECT event_id AS id, CASE event_id % 2 WHEN 0 THEN 'tuned' ELSE 'base' END AS stage, 1 AS n_records, 0 AS n_predictions FROM events
+    UNION ALL SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'base' ELSE 'tuned' END, 1, 2 FROM events WHERE event_id % 17 = 0""",
+)
 def decision_gaps(spark, sf):
-    """Ids without a partner (none here) plus one marker row, so that an empty result is visible."""
-    gaps = E.unmatched(decision_records(spark, sf), decision_predictions(spark, sf)).select("id")
-    return gaps.unionByName(gaps.groupBy().agg(F.lit(-1).cast("bigint").alias("id")))
+    """Every stage judges half the records, and every 17th prediction is delivered twice."""
+    given = decision_predictions(spark, sf)
+    return E.unmatched(decision_records(spark, sf), given.unionByName(given.where(F.col("id") % 17 == 0)))
 
 
 @register(

@@ -288,14 +288,13 @@ def alignment_records(spark, sf):
 
 @register(
     "text_functions",
-    f"""SELECT doc_id, {S.slug('substring(text, 1, 200)')} AS anchor, {S.key_slug('substring(text, 1, 200)')} AS key,
+    f"""SELECT doc_id, {S.slug('text')} AS anchor, {S.key_slug('text')} AS key,
       {S.compact('text', 240)} AS compact, {S.compact_named('text', 80)} AS named FROM documents""",
 )
 def text_functions(spark, sf):
     text = F.col("text")
-    head = F.substring(text, 1, 200)
     return table(spark, sf, "documents").select(
-        "doc_id", T.slug(head).alias("anchor"), T.key_slug(head).alias("key"), T.compact(text, 240).alias("compact"),
+        "doc_id", T.slug(text).alias("anchor"), T.key_slug(text).alias("key"), T.compact(text, 240).alias("compact"),
         T.compact_named(text, 80).alias("named"),
     )
 
