@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SPLIT_SEGMENTS = 64
+#: Leading hexadecimal digits that cut the hash order into ranges: 16 per digit.
+RANGE_DIGITS = 3
 
 
 def eval_size(n: Column, train_ratio: float) -> Column:
@@ -19,14 +20,13 @@ def eval_size(n: Column, train_ratio: float) -> Column:
 
 
 def stratified_split(cases: DataFrame, stratum: str = "action", key: str = "case_id", seed: int = 42, train_ratio: float = 0.8) -> DataFrame:
-    """Adds ``split``. Rows are ordered by a seeded hash; the first ones of a stratum are for evaluation.
+    """Adds ``split``. Rows are ordered by a seeded digest of their key; the first ones of a stratum are for evaluation.
 
-    The position of a row is counted in hash ranges: range counts give every
+    The position of a row is counted in digest ranges: range counts give every
     range its offset, so a stratum of any size is ranked by many tasks.
     """
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    width = F.lit(2.0**64 / SPLIT_SEGMENTS)
-    ranged = cases.withColumn("_h", order).withColumn("_r", F.floor(F.col("_h") / width).cast("int"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    ranged = cases.withColumn("_h", order).withColumn("_r", F.substring("_h", 1, RANGE_DIGITS))
     per_range = ranged.groupBy(stratum, "_r").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(stratum).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(stratum)

@@ -328,8 +328,8 @@ def _nonzero(page: Column, otherwise: Column) -> Column:
     return F.when(page != 0, page).otherwise(otherwise)
 
 
-def chunk_documents(assets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Two-level chunks of ``assets(asset_id, title, asset_type, content)`` (optional ``asset_pos``).
+def chunk_documents(assets: DataFrame, settings: Settings = DEFAULTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Two-level chunks of ``assets(asset_id, title, asset_type, content)`` (optional ``asset_pos``), with the columns ``carry``.
 
     Parents pack a section's sentences to the parent budget; children pack a
     parent's sentences to the child budget with overlap. Numbers run over the
@@ -338,7 +338,7 @@ def chunk_documents(assets: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     """
     if "asset_pos" not in assets.columns:
         assets = assets.withColumn("asset_pos", F.lit(0).cast("bigint"))
-    keep = ["asset_id", "title", "asset_type", "asset_pos"]
+    keep = ["asset_id", "title", "asset_type", "asset_pos", *carry]
     docs = with_sections(assets.select(*keep, "content"))
 
     def span(x, owner):
@@ -435,6 +435,7 @@ def chunk_documents(assets: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         _nonzero(F.col("page_start"), F.col("head.page_start")).alias("page_start"),
         _nonzero(F.col("page_end"), F.col("head.page_end")).alias("page_end"),
         F.col("tokens").alias("token_count"),
-        # Corpus order: document order, then chunk number (fewer than 2^20 chunks per document).
-        (F.shiftleft(F.col("asset_pos"), 20) + F.col("number")).alias("pos"),
+        # Corpus order: document order, then chunk number. A text of at most 2 GB has fewer than 2^30 chunks.
+        (F.shiftleft(F.col("asset_pos"), 30) + F.col("number")).alias("pos"),
+        *carry,
     )

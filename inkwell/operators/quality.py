@@ -9,6 +9,8 @@ from inkwell.functions import rules as R
 from inkwell.functions import text as T
 
 STRONG, USABLE = 0.35, 0.18
+# Fixed value: the text shown for an empty scope.
+NO_ASSETS = "- no assets yet"
 
 
 def is_restrictive(text: Column) -> Column:
@@ -212,11 +214,13 @@ def agent_answer(final_text: Column, observations: Column, labels: Column) -> Co
 
 
 def asset_scope(assets: DataFrame, limit: int = 8) -> DataFrame:
-    """One row: the newest ``limit`` assets as a list and the number of all assets."""
+    """One row: ``asset_scope``, the newest ``limit`` assets as a list (equal times: smaller id first), and ``n_assets``, all of them."""
     newest = assets.orderBy(F.col("updated_at").desc(), "asset_id").limit(limit)
     line = F.concat(F.lit("- "), F.col("title"), F.lit(" ("), F.col("asset_type"), F.lit(")"))
-    items = F.sort_array(F.collect_list(F.struct(F.unix_micros("updated_at").alias("at"), (-F.hash("asset_id")).alias("tie"), line.alias("line"))), False)
-    return newest.agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("asset_scope"))
+    items = F.array_sort(F.collect_list(F.struct((-F.unix_micros("updated_at")).alias("at"), "asset_id", line.alias("line"))))
+    text = F.array_join(F.transform(items, lambda x: x["line"]), "\n")
+    listed = newest.agg(F.when(F.count(F.lit(1)) == 0, NO_ASSETS).otherwise(text).alias("asset_scope"))
+    return listed.withColumn("n_assets", assets.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def packed_context(parts: dict[str, Column]) -> Column:

@@ -13,7 +13,7 @@ from inkwell.sources import ingest, store
 
 def prepare_documents(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Files of a folder → (assets, quarantine)."""
-    return ingest.parse_files(ingest.read_folder(spark, folder), settings)
+    return ingest.parse_files(ingest.read_folder(spark, folder, settings), settings)
 
 
 chunk_documents = chunking.chunk_documents

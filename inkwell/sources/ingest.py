@@ -16,13 +16,26 @@ TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 MARKDOWN_SUFFIXES = (".md", ".markdown")
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, content`` of every file below a folder."""
+def _early_reason(settings: Settings) -> Column:
+    """Why a file is rejected by its name and size alone."""
     return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+        F.when(~T.file_suffix(F.col("path")).isin(*TEXT_SUFFIXES), "unsupported_suffix")
+        .when(F.col("length") == 0, "empty_file")
+        .when(F.col("length") > settings.upload_max_bytes, "too_large")
     )
 
 
+def read_folder(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """``path, length, content`` of every file below a folder.
+
+    Only acceptable files are opened: the length filter reaches the scan, and the scan of the others reads no content.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rejected = _early_reason(settings).isNotNull()
+    good = files.where((F.col("length") <= settings.upload_max_bytes) & ~rejected).select("path", "length", "content")
+    return good.unionByName(files.where(rejected).select("path", "length", F.lit(None).cast("binary").alias("content")))
+
+
 def decode_gb18030(raw: Column) -> Column:
     """Arrow UDF for the rare rows that are not UTF-8; NULL when they are not GB18030 either."""
 
@@ -58,7 +71,9 @@ def parse_files(files: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFr
             files = files.withColumn(optional, F.lit(None).cast("string"))
     keep = ["path", "length", "title", "asset_type", "_suffix", "_name"]
     suffix, name = T.file_suffix(F.col("path")), T.base_name(F.col("path"))
-    decoded = decode_text(files.withColumn("_suffix", suffix).withColumn("_name", name))
+    early = _early_reason(settings)
+    wanted = files.withColumn("content", F.when(early.isNull(), F.col("content")))
+    decoded = decode_text(wanted.withColumn("_suffix", suffix).withColumn("_name", name))
     markdown = F.col("_suffix").isin(*MARKDOWN_SUFFIXES)
     unified = decoded.select(*keep, T.normalize_newlines(F.col("text")).alias("_text"))
     bodies = unified.select(
@@ -76,13 +91,7 @@ def parse_files(files: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFr
     document = F.when(
         F.col("_heading").isNotNull(), F.concat_ws("\n\n", T.strip(F.col("_heading")), source, F.nullif(rest, F.lit("")))
     ).otherwise(F.concat(F.lit("# "), "_title", F.lit("\n\n"), source, F.lit("\n\n"), "_body"))
-    reason = (
-        F.when(~F.col("_suffix").isin(*TEXT_SUFFIXES), "unsupported_suffix")
-        .when(F.col("length") == 0, "empty_file")
-        .when(F.col("length") > settings.upload_max_bytes, "too_large")
-        .when(F.col("_body").isNull(), "unknown_encoding")
-        .when(F.col("_body") == "", "no_text")
-    )
+    reason = F.coalesce(early, F.when(F.col("_body").isNull(), "unknown_encoding").when(F.col("_body") == "", "no_text"))
     row = F.struct(
         "path", "length", reason.alias("reason"), F.col("_title").alias("title"),
         T.infer_asset_type(F.col("_name"), F.col("asset_type")).alias("asset_type"),

@@ -1,13 +1,14 @@
 """Structured Streaming jobs. The same rows in batch are the reference for each of them.
 
-State is kept per session or upload and is bounded: a session holds at most the
-rows below its token threshold plus one trigger, an upload at most its parts.
-Rows of one trigger are sorted inside the state function, so their order of
-arrival within a trigger does not matter.
+Results follow from the order of the rows, not from how they fall into triggers: inside a trigger the state functions
+sort by the order column, and nothing is decided before the rows that decide it are there. Rows must not arrive in an
+earlier trigger than rows that precede them. State is kept per session or upload; a session holds at most the
+rows below its token threshold plus one turn.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pandas as pd
@@ -48,15 +49,15 @@ def run_states(events: DataFrame) -> DataFrame:
 
 
 def guard_sequences(turns: DataFrame) -> DataFrame:
-    """Stream of ``session_id, sequence_id`` → every row with ``expected`` and ``accepted``.
+    """Stream of ``session_id, sequence_id, arrived_at`` → every row with ``expected`` and ``accepted``.
 
-    A row is accepted only when it is the next number of its session; others do
-    not move the session on.
+    Rows are judged in order of arrival. A row is accepted only when it is the next number of its session; others do
+    not move the session on, so 2 before 1 is rejected in one trigger as in two.
     """
 
     def step(key, batches, state: GroupState):
         last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("sequence_id", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["arrived_at", "sequence_id"], kind="stable")
         expected, accepted = [], []
         for value in rows["sequence_id"]:
             expected.append(last + 1)
@@ -67,7 +68,7 @@ def guard_sequences(turns: DataFrame) -> DataFrame:
             {"session_id": key[0], "sequence_id": rows["sequence_id"].to_numpy(), "expected": expected, "accepted": accepted}
         )
 
-    return turns.select("session_id", F.col("sequence_id").cast("bigint")).groupBy("session_id").applyInPandasWithState(
+    return turns.select("session_id", F.col("sequence_id").cast("bigint"), "arrived_at").groupBy("session_id").applyInPandasWithState(
         step,
         "session_id string, sequence_id bigint, expected bigint, accepted boolean",
         "last bigint",
@@ -76,31 +77,46 @@ def guard_sequences(turns: DataFrame) -> DataFrame:
     )
 
 
-def compact_sessions(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def compact_sessions(items: DataFrame, settings: Settings = DEFAULTS, answer_ordinal: int = 1) -> DataFrame:
     """Stream of working rows ``session_id, sequence_id, ordinal, id, tokens`` → compaction batches.
 
-    After the rows of a turn are stored, a session above its threshold hands out
-    its oldest rows up to the target and keeps the rest.
+    A turn is complete with its answer row (``ordinal`` at least ``answer_ordinal``) or with the first row of another
+    turn. After a complete turn, a session above its threshold hands out its oldest rows up to the target and keeps the
+    rest; an open turn waits in the state.
     """
     threshold = max(1, settings.working_token_threshold)
     target = max(1, math.ceil(threshold * settings.compaction_share))
 
     def step(key, batches, state: GroupState):
-        ids, tokens = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values(["sequence_id", "ordinal"], kind="stable")
+        if state.exists:
+            ids, tokens, turn, open_rows = list(state.get[0]), list(state.get[1]), state.get[2], state.get[3]
+        else:
+            ids, tokens, turn, open_rows = [], [], -1, 0
+        rows = pd.concat(list(batches)).sort_values(["sequence_id", "ordinal", "id"], kind="stable")
         out = []
-        for turn, part in rows.groupby("sequence_id", sort=True):
-            ids.extend(part["id"])
-            tokens.extend(int(t) for t in part["tokens"])
+
+        def complete():
             total = sum(tokens)
             if total > threshold:
                 taken, used = 0, 0
                 while used < target:
                     used += tokens[taken]
                     taken += 1
-                out.append((key[0], int(turn), used, total, ids[:taken]))
-                ids, tokens = ids[taken:], tokens[taken:]
-        state.update((ids, tokens))
+                out.append((key[0], turn, used, total, ids[:taken]))
+                del ids[:taken], tokens[:taken]
+
+        for number, ordinal, name, size in zip(rows["sequence_id"], rows["ordinal"], rows["id"], rows["tokens"]):
+            if open_rows and number != turn:
+                complete()
+                open_rows = 0
+            turn = int(number)
+            ids.append(name)
+            tokens.append(int(size))
+            open_rows += 1
+            if ordinal >= answer_ordinal:
+                complete()
+                open_rows = 0
+        state.update((ids, tokens, turn, open_rows))
         yield pd.DataFrame(out, columns=["session_id", "trigger_sequence_id", "compacted_tokens", "total_tokens", "item_ids"])
 
     return items.select(
@@ -108,7 +124,7 @@ def compact_sessions(items: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     ).groupBy("session_id").applyInPandasWithState(
         step,
         "session_id string, trigger_sequence_id bigint, compacted_tokens bigint, total_tokens bigint, item_ids array<string>",
-        "ids array<string>, tokens array<int>",
+        "ids array<string>, tokens array<int>, turn bigint, open_rows int",
         "append",
         GroupStateTimeout.NoTimeout,
     )
@@ -126,17 +142,22 @@ def track_uploads(parts: DataFrame) -> DataFrame:
     return counts.where(F.col("n") == F.col("total_chunks")).select("upload_id", "total_chunks")
 
 
+def _batch_name(checkpoint: str, number: int) -> str:
+    """The same micro-batch of the same stream has the same name when it is replayed."""
+    return f"feed-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-{number:012d}"
+
+
 def index_feed(changes: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
-    """Asset change stream → chunk index. A replayed micro-batch writes the same buckets again."""
+    """Asset change stream → chunk index. Every micro-batch appends only its own changes; a replayed one replaces them."""
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: store.apply_asset_changes(batch, path, settings)
+        lambda batch, number: store.apply_asset_changes(batch, path, settings, _batch_name(checkpoint, number))
     )
 
 
 def fact_feed(drafts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Fact draft stream → fact table."""
+    """Fact draft stream → fact table, as in :func:`index_feed`."""
     return drafts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: store.apply_fact_drafts(batch, path)
+        lambda batch, number: store.apply_fact_drafts(batch, path, _batch_name(checkpoint, number))
     )
 
 

@@ -226,8 +226,28 @@ def model_rerank(spark, sf):
     return ranked.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("split_membership")
+@register(
+    "split_membership",
+    """WITH l AS (SELECT doc_id AS case_id, quality::VARCHAR AS stratum, count(*) OVER (PARTITION BY quality) AS n,
+        row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, '')), doc_id) AS place FROM labels)
+    SELECT case_id, stratum, CASE WHEN place <= least(n - 1, greatest(1, round_even(n * (1.0::DOUBLE - 0.8::DOUBLE), 0)::BIGINT)) THEN 'eval' ELSE 'train' END AS split FROM l""",
+)
 def split_membership(spark, sf):
-    """Which labelled document goes to which split (hash order, so only its sizes have SQL)."""
+    """Which labelled document goes to which split, by the order of their digests."""
     cases = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.col("quality").cast("string").alias("stratum"))
     return A.stratified_split(cases, "stratum")
+
+
+@register(
+    "asset_scope",
+    """WITH t AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 8)
+    SELECT string_agg('- order ' || o_orderkey || ' (' || o_orderstatus || ')', chr(10) ORDER BY o_orderdate DESC, o_orderkey) AS asset_scope,
+      (SELECT count(*) FROM orders) AS n_assets FROM t""",
+)
+def asset_scope(spark, sf):
+    """Orders as assets: the newest eight as a list, and the number of all."""
+    assets = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("asset_id"), F.concat(F.lit("order "), "o_orderkey").alias("title"),
+        F.col("o_orderstatus").alias("asset_type"), F.col("o_orderdate").cast("timestamp").alias("updated_at"),
+    )
+    return Q.asset_scope(assets)

@@ -43,26 +43,51 @@ def run_through(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
 def stream_sequence_guard(spark, sf):
     """Turn numbers as sequence numbers; a session that starts with turn 0 has that row rejected."""
     turns = stream_table(spark, sf, "conversations").where(F.col("role") != "system").select(
-        F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("sequence_id")
+        F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("sequence_id"), F.col("turn").alias("arrived_at")
     )
     return run_through(spark, feeds.guard_sequences(turns), "guard")
 
 
-@register("stream_compaction")
+_STREAM_KEY = "'turn_' || (turn + 1) // 2 || '_' || role"
+
+
+@register(
+    "stream_compaction",
+    f"""WITH RECURSIVE items AS (
+      SELECT 's' || conv_id AS session_id, ((turn + 1) // 2)::BIGINT AS sequence_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS ordinal,
+        conv_id || '-' || turn AS id, greatest(1, {S.token_count(f"{_STREAM_KEY} || ': ' || {S.compact('text', 240)}")}) AS tokens
+      FROM conversations WHERE role <> 'system'),
+    marked AS (SELECT *, ordinal >= 1 OR sequence_id <> lead(sequence_id) OVER w AS ends, row_number() OVER w AS n
+      FROM items WINDOW w AS (PARTITION BY session_id ORDER BY sequence_id, ordinal, id)),
+    numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS part FROM marked),
+    parts AS (SELECT session_id, part, max(sequence_id) AS sequence_id, list(id ORDER BY n) AS ids, list(tokens ORDER BY n) AS tokens
+      FROM numbered GROUP BY session_id, part HAVING coalesce(bool_or(ends), false)),
+    held AS (
+      SELECT session_id, 0::HUGEINT AS part, 0::BIGINT AS sequence_id, []::VARCHAR[] AS ids, []::BIGINT[] AS tokens, 0::BIGINT AS taken FROM parts GROUP BY session_id
+      UNION ALL
+      SELECT session_id, part, sequence_id, ids, tokens,
+        CASE WHEN list_sum(tokens) > 300 THEN list_position(list_transform(range(1, len(tokens) + 1), lambda k: list_sum(tokens[1:k]) >= 225), true) ELSE 0 END
+      FROM (SELECT h.session_id, p.part, p.sequence_id, list_concat(h.ids[h.taken + 1:], p.ids) AS ids, list_concat(h.tokens[h.taken + 1:], p.tokens) AS tokens
+        FROM held h JOIN parts p ON p.session_id = h.session_id AND p.part = h.part + 1))
+    SELECT session_id, sequence_id AS trigger_sequence_id, list_sum(tokens[1:taken])::BIGINT AS compacted_tokens, list_sum(tokens)::BIGINT AS total_tokens,
+      array_to_string(ids[1:taken], ',') AS item_ids FROM held WHERE taken > 0""",
+)
 def stream_compaction(spark, sf):
     """Working rows of user and assistant turns, compacted as sessions grow."""
     settings = Settings(working_token_threshold=300)
     turns = stream_table(spark, sf, "conversations").where(F.col("role") != "system")
     content = T.compact(F.col("text"), 240)
-    key = F.concat(F.lit("turn_"), F.floor((F.col("turn") + 1) / 2).cast("string"), F.lit("_"), "role")
+    number = F.floor((F.col("turn") + 1) / 2)
+    key = F.concat(F.lit("turn_"), number.cast("string"), F.lit("_"), "role")
     items = turns.select(
         F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"),
-        F.floor((F.col("turn") + 1) / 2).alias("sequence_id"),
+        number.alias("sequence_id"),
         F.when(F.col("role") == "user", 0).otherwise(1).alias("ordinal"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.greatest(F.lit(1), T.token_count(F.concat(key, F.lit(": "), content))).alias("tokens"),
     )
-    return run_through(spark, feeds.compact_sessions(items, settings), "compaction")
+    batches = run_through(spark, feeds.compact_sessions(items, settings), "compaction")
+    return batches.withColumn("item_ids", F.array_join("item_ids", ","))
 
 
 @register(
@@ -202,6 +227,9 @@ def paged_documents(spark, sf):
     return ingest.assemble_pages(pages).select(F.col("doc_id").alias("conv_id"), "content")
 
 
-@register("clean_html")
+@register(
+    "clean_html",
+    f"""SELECT page_id, {S.collapse("replace(replace(replace(replace(regexp_replace(html, '&amp;?', chr(1), 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), chr(1), '&')")} AS text FROM pages""",
+)
 def clean_html(spark, sf):
     return spread(table(spark, sf, "pages"), "page_id").select("page_id", ingest.clean_html(F.col("html")).alias("text"))

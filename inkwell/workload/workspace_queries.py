@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions import decisions as D
 from inkwell.functions import text as T
 from inkwell.operators import alignment as A
 from inkwell.operators import evidence as V
 from inkwell.operators import uploads as U
 from inkwell.operators import workspace as WS
-from inkwell.session import table
+from inkwell.plans import jobs
+from inkwell.session import checkpoint_root, table
+from inkwell.sources import ingest
 from inkwell.workload import sqltext as S
 from inkwell.workload.memory_queries import RUNS, runs
 from inkwell.workload.registry import register
@@ -182,6 +189,44 @@ def validation(spark, sf):
     return WS.validate(rows, WS.asset_rules()).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
+@register(
+    "validation_rules",
+    """WITH u AS (SELECT doc_id, text AS filename, n_chars - 200 AS file_size, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE ' ' || upper(md5(text)) END AS file_md5,
+      doc_id % 4 AS chunk_size FROM documents),
+    r AS (
+      SELECT 'upload' AS kind, doc_id::VARCHAR AS id, [CASE WHEN NOT coalesce(length(filename), 0) BETWEEN 1 AND 255 THEN 'filename_length' END,
+        CASE WHEN NOT coalesce(file_size >= 1, false) THEN 'size_positive' END, CASE WHEN doc_id % 3 = 0 OR file_md5 IS NULL THEN 'md5_format' END,
+        CASE WHEN chunk_size < 1 THEN 'part_size_positive' END] AS v FROM u
+      UNION ALL SELECT 'turn', conv_id || '-' || turn, [CASE WHEN turn < 1 THEN 'sequence_positive' END, CASE WHEN role = 'system' OR coalesce(text, '') = '' THEN 'query_empty' END] FROM conversations
+      UNION ALL SELECT 'variant', event_id::VARCHAR, [CASE WHEN NOT coalesce(value BETWEEN 0 AND 1, false) THEN 'weight_range' END, CASE WHEN event_type = 'view' THEN 'query_empty' END] FROM events
+      UNION ALL SELECT 'project', doc_id::VARCHAR, [CASE WHEN NOT coalesce(length(text), 0) BETWEEN 1 AND 120 THEN 'title_length' END] FROM documents)
+    SELECT kind, id, array_to_string(list_filter(v, lambda x: x IS NOT NULL), ',') AS violations FROM r""",
+)
+def validation_rules(spark, sf):
+    """Uploads, turns, query variants and projects against their rules."""
+    docs = table(spark, sf, "documents")
+    digest = F.when(F.col("doc_id") % 3 == 0, "none").otherwise(F.concat(F.lit(" "), F.upper(F.md5("text"))))
+    uploads = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("filename"), (F.col("n_chars") - 200).alias("file_size"),
+        digest.alias("file_md5"), (F.col("doc_id") % 4).alias("chunk_size"),
+    )
+    turns = table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").alias("sequence_id"),
+        F.when(F.col("role") != "system", F.col("text")).alias("user_query"),
+    )
+    variants = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.col("value").alias("weight"),
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("query"),
+    )
+    projects = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"))
+    checked = {
+        "upload": WS.validate(uploads, WS.upload_rules()), "turn": WS.validate(turns, WS.turn_rules()),
+        "variant": WS.validate(variants, WS.variant_rules()), "project": WS.validate(projects, WS.project_rules()),
+    }
+    parts = [rows.select(F.lit(kind).alias("kind"), "id", F.array_join("violations", ",").alias("violations")) for kind, rows in checked.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- uploads: an order is an upload, a line is a part -------------------------------------
 
 
@@ -265,6 +310,15 @@ def stratified_split(spark, sf):
     return A.stratified_split(cases, "stratum").groupBy("stratum", "split").agg(F.count("*").alias("n"))
 
 
+def alignment_cases(spark, sf):
+    """An event is a labelled tool case."""
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("case_id"), F.col("event_type").alias("category"), F.col("event_type").alias("user_query"),
+        F.lit("t").alias("thought"), F.col("event_type").alias("action"), F.col("props").alias("arguments"),
+        F.lit("final_answer").alias("rejected_action"), F.lit("{}").alias("rejected_arguments"), F.lit("r").alias("rejected_thought"),
+    )
+
+
 @register(
     "alignment_records",
     """SELECT event_id AS id, 'Q: ' || event_type AS prompt,
@@ -273,16 +327,49 @@ def stratified_split(spark, sf):
       '{"action":"' || event_type || '","arguments":' || props || '}' AS expected FROM events""",
 )
 def alignment_records(spark, sf):
-    e = table(spark, sf, "events")
-    cases = e.select(
-        F.col("event_id").alias("case_id"), F.lit("train").alias("split"), F.col("event_type").alias("category"), F.col("event_type").alias("user_query"),
-        F.lit("t").alias("thought"), F.col("event_type").alias("action"), F.col("props").alias("arguments"),
-        F.lit("final_answer").alias("rejected_action"), F.lit("{}").alias("rejected_arguments"), F.lit("r").alias("rejected_thought"),
-    )
-    rows = A.dpo_records(cases, F.concat(F.lit("Q: "), F.col("user_query")))
+    rows = A.dpo_records(alignment_cases(spark, sf).withColumn("split", F.lit("train")), F.concat(F.lit("Q: "), F.col("user_query")))
     return rows.select("id", "prompt", "chosen", "rejected", "expected")
 
 
+_SPLIT = """n AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n,
+      row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS place FROM events),
+    s AS (SELECT *, CASE WHEN place <= least(n - 1, greatest(1, round_even(n * (1.0::DOUBLE - 0.8::DOUBLE), 0)::BIGINT)) THEN 'eval' ELSE 'train' END AS split FROM n)"""
+
+
+@register(
+    "sft_records",
+    f"""WITH {_SPLIT}, r AS (SELECT *, 'Pick.' || chr(10) || chr(10) || '可用工具目录：' || chr(10) || 'view, click' || chr(10) || chr(10) || '输出 JSON schema：' || chr(10) ||
+        '{{"thought":"简短思考","action":"工具名或 final_answer","arguments":{{"参数名":"参数值"}}}}' || chr(10) || chr(10) || '决策规则：' || chr(10) || 'One tool.' || chr(10) || chr(10) ||
+        '用户问题：' || event_type || chr(10) || chr(10) || '只返回 JSON：' AS prompt,
+      '{{"thought":"t","action":"' || event_type || '","arguments":' || props || '}}' AS completion FROM s)
+    SELECT event_id AS id, split, event_type AS category, prompt, completion, prompt || completion AS text,
+      'user:' || prompt || '|assistant:' || completion AS messages, '{{"action":"' || event_type || '","arguments":' || props || '}}' AS expected FROM r""",
+)
+def sft_records(spark, sf):
+    """Supervised records of split cases, with the decision prompt."""
+    prompt = D.decision_prompt(F.lit("Pick."), F.lit("view, click"), F.lit("One tool."), F.col("user_query"))
+    rows = A.sft_records(A.stratified_split(alignment_cases(spark, sf)), prompt)
+    messages = F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"]))
+    return rows.withColumn("messages", F.array_join(messages, "|"))
+
+
+@register(
+    "alignment_sets",
+    f"""WITH {_SPLIT}, k AS (SELECT unnest(['sft', 'dpo']) AS kind) SELECT kind, split, event_id AS id, md5('Q: ' || event_type) AS prompt_md5 FROM s, k""",
+)
+def alignment_sets(spark, sf):
+    """The written record files of both kinds and splits, read back."""
+    out = f"{checkpoint_root(spark).rstrip('/')}/inkwell/alignment-{uuid.uuid4().hex}"
+    jobs.build_alignment_sets(alignment_cases(spark, sf), F.concat(F.lit("Q: "), F.col("user_query")), out)
+    parts = [
+        ingest.read_jsonl(spark, f"{out}/{kind}_{split}", "id bigint, prompt string").select(
+            F.lit(kind).alias("kind"), F.lit(split).alias("split"), "id", F.md5("prompt").alias("prompt_md5")
+        )
+        for kind in ("sft", "dpo") for split in ("train", "eval")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- text functions ------------------------------------------------------------------------------
 
 
