@@ -115,11 +115,12 @@ def weighted_searches(searches: DataFrame, chunks: DataFrame, settings: Settings
 
     Equal search texts are scored once, whoever asks them.
     """
-    # A 64-bit text id keeps the scoring keys short; the text itself joins the hits back.
-    texts = searches.select(F.xxhash64("query").alias("query_id"), "query").distinct()
+    # A digest of the text keeps the scoring keys short.
+    digest = F.unhex(F.md5("query"))
+    texts = searches.select(digest.alias("query_id"), "query").distinct()
     hits = R.hybrid_search(texts, chunks, settings.retrieval_limit, settings=settings, corpus=corpus)
     flat = hits.select(F.col("query_id").alias("text_id"), "chunk_id", "rank", "score")
-    asked = searches.select("query_id", "query_no", "weight", "query", F.xxhash64("query").alias("text_id"))
+    asked = searches.select("query_id", "query_no", "weight", "query", digest.alias("text_id"))
     return asked.join(flat, "text_id").drop("text_id").withColumnRenamed("query", "matched_query")
 
 
@@ -128,7 +129,8 @@ def retrieve(
 ) -> DataFrame:
     """Evidence rows per query for weighted searches over two-level chunks."""
     hits = weighted_searches(searches, chunks, settings, corpus)
-    merged = merge_searches(hits, settings.retrieval_limit)
+    # At most ``limit`` rows per query: written once, so that neither the count nor the payload joins repeat the search.
+    merged = materialized(merge_searches(hits, settings.retrieval_limit), "merged-hits")
     return evidence_rows(with_parent_context(merged, chunks, settings))
 
 

@@ -24,6 +24,7 @@ from inkwell.functions import rules as R
 from inkwell.functions import text as T
 from inkwell.operators import retrieval as search
 from inkwell.operators.segments import newest, running_before, segment_of
+from inkwell.session import materialized
 
 SESSION = ["project_id", "session_id"]
 SCORE_DIGITS = 9
@@ -31,7 +32,7 @@ SCORE_DIGITS = 9
 
 def stable_id(prefix: str, *parts: Column) -> Column:
     key = F.concat_ws("\x1f", *[p.cast("string") for p in parts])
-    return F.concat(F.lit(prefix + "-"), F.substring(F.md5(key), 1, 12))
+    return F.concat(F.lit(prefix + "-"), F.md5(key))
 
 
 def _with_defaults(runs: DataFrame) -> DataFrame:
@@ -345,7 +346,8 @@ def semantic_recall(queries: DataFrame, facts: DataFrame, settings: Settings = D
     limit = settings.semantic_limit
     pool = max(limit * 6, 24)
     k = settings.candidates_for(limit)
-    recent = newest(facts, ["project_id"], [F.col("updated_at").desc(), F.col("id")], pool)
+    # At most ``pool`` rows per project, read by every step below: written once.
+    recent = materialized(newest(facts, ["project_id"], [F.col("updated_at").desc(), F.col("id")], pool), "recent-facts")
     corpus = recent.select(
         F.col("id").alias("chunk_id"),
         F.col("recency").alias("pos"),
@@ -353,7 +355,7 @@ def semantic_recall(queries: DataFrame, facts: DataFrame, settings: Settings = D
         F.col("project_id").alias("scope_id"),
     )
     asked = queries.select("query_id", "query", F.col("project_id").alias("scope_id"))
-    hits = search.bm25_search(asked, corpus, k, settings=settings)
+    hits = materialized(search.bm25_search(asked, corpus, k, settings=settings), "fact-hits")
     fused = search.fuse(search.merge_ranked(hits, hits), k)
     scored = fused.join(recent.select(F.col("id").alias("chunk_id"), "importance"), "chunk_id").withColumn(
         "score", F.round(F.col("fusion_score") + F.col("dense_score") + F.col("sparse_score"), SCORE_DIGITS)
@@ -365,8 +367,8 @@ def semantic_recall(queries: DataFrame, facts: DataFrame, settings: Settings = D
         unmatched.join(recent.where(F.col("recency") <= limit).select("project_id", "id", "recency"), "project_id")
         .select("query_id", "id", F.col("recency").alias("rank"), F.lit(None).cast("double").alias("score"))
     )
-    chosen = ranked.unionByName(newest_rows)
-    return chosen.join(recent.drop("recency"), "id")
+    chosen = ranked.unionByName(newest_rows).join(queries.select("query_id", "project_id").distinct(), "query_id")
+    return chosen.join(recent.drop("recency"), ["project_id", "id"])
 
 
 # --- upserts and unions ------------------------------------------------------------------

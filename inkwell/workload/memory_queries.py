@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.config import Settings
+from inkwell.config import DEFAULTS, Settings
+from inkwell.functions import rules as R
+from inkwell.functions import text as T
 from inkwell.operators import memory as M
 from inkwell.operators.segments import running_before
 from inkwell.session import materialized, table
@@ -79,7 +81,7 @@ RUNS = f"""turns AS (
       FROM turns u WHERE u.role = 'user' AND NOT EXISTS (
         SELECT 1 FROM turns a WHERE a.session_id = u.session_id AND a.turn = u.turn + 1 AND a.role = 'assistant'))"""
 
-WM_ID = "'wm-' || substring(md5(session_id || chr(31) || sequence_id || chr(31) || memory_key), 1, 12)"
+WM_ID = "'wm-' || md5(session_id || chr(31) || sequence_id || chr(31) || memory_key)"
 WORKING = f"""{RUNS},
     items AS (
       SELECT project_id, session_id, sequence_id, 0 AS ordinal, 'turn_' || sequence_id || '_query' AS memory_key,
@@ -147,23 +149,22 @@ def compaction_batches(spark, sf):
     )
 
 
-@register(
-    "context_pick",
-    f"""WITH RECURSIVE {WORKING},
-    totals AS (SELECT session_id, sum(tokens) AS total FROM working GROUP BY session_id),
+def _picked_context(threshold: int) -> str:
+    return f"""context_totals AS (SELECT session_id, sum(tokens) AS total FROM working GROUP BY session_id),
     queue AS (
       SELECT w.*, total, row_number() OVER (PARTITION BY w.session_id ORDER BY sequence_id DESC, ordinal DESC) AS n
-      FROM working w JOIN totals USING (session_id)),
+      FROM working w JOIN context_totals USING (session_id)),
     fold AS (
       SELECT session_id, n, tokens AS used, true AS taken FROM queue WHERE n = 1
       UNION ALL
       SELECT q.session_id, q.n,
-             CASE WHEN f.used >= 300 OR f.used + q.tokens > 300 THEN f.used ELSE f.used + q.tokens END,
-             NOT (f.used >= 300 OR f.used + q.tokens > 300)
-      FROM fold f JOIN queue q ON q.session_id = f.session_id AND q.n = f.n + 1)
-    SELECT q.session_id, q.memory_key, q.tokens FROM queue q JOIN fold f USING (session_id, n)
-    WHERE total <= 300 OR taken""",
-)
+             CASE WHEN f.used >= {threshold} OR f.used + q.tokens > {threshold} THEN f.used ELSE f.used + q.tokens END,
+             NOT (f.used >= {threshold} OR f.used + q.tokens > {threshold})
+      FROM fold f JOIN queue q ON q.session_id = f.session_id AND q.n = f.n + 1),
+    context AS (SELECT q.* FROM queue q JOIN fold f USING (session_id, n) WHERE total <= {threshold} OR taken)"""
+
+
+@register("context_pick", f"WITH RECURSIVE {WORKING}, {_picked_context(300)} SELECT session_id, memory_key, tokens FROM context")
 def context_pick(spark, sf):
     picked = M.context_pick(working(spark, sf), SMALL)
     return picked.select("session_id", "memory_key", F.col("tokens").cast("bigint").alias("tokens"))
@@ -182,7 +183,7 @@ def recent_turns(spark, sf):
 
 
 EPISODES = f"""{RUNS}, episodes AS (
-      SELECT 'ep-' || substring(md5(session_id || chr(31) || sequence_id), 1, 12) AS id, project_id, session_id, sequence_id,
+      SELECT 'ep-' || md5(session_id || chr(31) || sequence_id) AS id, project_id, session_id, sequence_id,
              'research_run' AS event_type, {S.compact("user_query || ' -> ' || answer", 220)} AS summary,
              user_query, {S.compact('answer', 240)} AS answer_summary, 0.75 AS importance, updated_at FROM runs)"""
 
@@ -204,19 +205,25 @@ def episodic_rows(spark, sf):
     )
 
 
-@register(
-    "episodic_recall",
-    f"""WITH {EPISODES},
-    recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, id) AS recency
+EVENT_TEXT = "summary || ' ' || user_query || ' ' || answer_summary || ' sequence_id query todo_title answer_summary citations ' || sequence_id"
+
+
+def _recalled_episodes(event: str = EVENT_TEXT) -> str:
+    return f"""recent_episodes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, id) AS recency
       FROM episodes) WHERE recency <= 16),
-    scored AS (
-      SELECT query_id, r.id, recency, round(
-        len(list_intersect({S.tokens('query')}, {S.tokens("summary || ' ' || user_query || ' ' || answer_summary || ' sequence_id query todo_title answer_summary citations ' || sequence_id")}))
+    scored_episodes AS (
+      SELECT query_id, r.id, recency, event_type, summary, round(
+        len(list_intersect({S.tokens('query')}, {S.tokens(event)}))
         + 0.6::DOUBLE * (1.0::DOUBLE / (1.0 + (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 3.6e9::DOUBLE / 24.0::DOUBLE))
         + importance::DOUBLE, 6) AS score
-      FROM asked a JOIN recent r USING (project_id))
-    SELECT query_id, id, score, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency) AS rank FROM scored) WHERE rank <= 4""",
+      FROM asked a JOIN recent_episodes r USING (project_id)),
+    recalled_episodes AS (SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency) AS rank FROM scored_episodes) WHERE rank <= 4)"""
+
+
+@register(
+    "episodic_recall",
+    f"""WITH {EPISODES}, {_recalled_episodes()} SELECT query_id, id, score, rank FROM recalled_episodes""",
 )
 def episodic_recall(spark, sf):
     """Event text here is summary, query, answer and the detail keys, as in the stored details."""
@@ -260,7 +267,7 @@ def fact_drafts(spark, sf):
 
 
 FACTS = f"""{DRAFTS}, facts AS (
-      SELECT 'sm-' || substring(md5(project_id || chr(31) || fact_type || chr(31) || memory_key), 1, 12) AS id,
+      SELECT 'sm-' || md5(project_id || chr(31) || fact_type || chr(31) || memory_key) AS id,
              project_id, fact_type, memory_key,
              arg_max(session_id, (updated_at, session_id, sequence_id, position)) AS session_id,
              arg_max(sequence_id, (updated_at, session_id, sequence_id, position)) AS sequence_id,
@@ -293,7 +300,7 @@ def fact_upsert(spark, sf):
       SELECT project_id, session_id, sequence_id, 'turn_' || sequence_id || '_answer', {S.compact('answer', 240)}, updated_at FROM runs)
     SELECT {WM_ID} AS id, project_id, 'working' AS memory_type, memory_key, memory_value, updated_at FROM items
     UNION ALL
-    SELECT 'ep-' || substring(md5(session_id || chr(31) || sequence_id), 1, 12), project_id, 'episodic', 'research_run',
+    SELECT 'ep-' || md5(session_id || chr(31) || sequence_id), project_id, 'episodic', 'research_run',
            {S.compact("user_query || ' -> ' || answer", 220)}, updated_at FROM runs
     UNION ALL
     SELECT id, project_id, 'semantic.' || fact_type, memory_key, statement, updated_at FROM facts""",
@@ -306,31 +313,30 @@ def memory_union(spark, sf):
     )
 
 
-@register(
-    "semantic_recall",
-    f"""WITH {FACTS},
-    recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, id) AS recency
+RECALLED_FACTS = f"""recent_facts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, id) AS recency
       FROM facts) WHERE recency <= 36),
-    corpus AS (SELECT project_id AS scope_id, id AS chunk_id, recency AS pos, importance, {S.fallback_tokens('statement')} AS tokens FROM recent),
-    terms AS (SELECT query_id, project_id AS scope_id, unnest({S.fallback_tokens('query')}) AS token FROM asked),
-    totals AS (SELECT scope_id, count(*) AS n, avg(len(tokens)) AS avg_len FROM corpus GROUP BY scope_id),
-    postings AS (SELECT scope_id, chunk_id, pos, importance, len(tokens) AS doc_len, unnest(tokens) AS token FROM corpus),
+    fact_corpus AS (SELECT project_id AS scope_id, id AS chunk_id, recency AS pos, importance, {S.fallback_tokens('statement')} AS tokens FROM recent_facts),
+    fact_terms AS (SELECT query_id, project_id AS scope_id, unnest({S.fallback_tokens('query')}) AS token FROM asked),
+    fact_totals AS (SELECT scope_id, count(*) AS n, avg(len(tokens)) AS avg_len FROM fact_corpus GROUP BY scope_id),
+    fact_postings AS (SELECT scope_id, chunk_id, pos, importance, len(tokens) AS doc_len, unnest(tokens) AS token FROM fact_corpus),
     raw_idf AS (SELECT scope_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r
-      FROM postings JOIN totals USING (scope_id) GROUP BY scope_id, token),
+      FROM fact_postings JOIN fact_totals USING (scope_id) GROUP BY scope_id, token),
     means AS (SELECT scope_id, avg(r) AS m FROM raw_idf GROUP BY scope_id),
     idf AS (SELECT scope_id, token, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw_idf JOIN means USING (scope_id)),
-    pairs AS (
+    fact_pairs AS (
       SELECT query_id, chunk_id, pos, importance, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * doc_len / avg_len))), 9) AS bm25
-      FROM terms JOIN idf USING (scope_id, token) JOIN postings USING (scope_id, token) JOIN totals USING (scope_id)
+      FROM fact_terms JOIN idf USING (scope_id, token) JOIN fact_postings USING (scope_id, token) JOIN fact_totals USING (scope_id)
       GROUP BY query_id, chunk_id, pos, importance),
-    hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, pos) AS n FROM pairs WHERE bm25 > 0) WHERE n <= 24),
-    scored AS (SELECT *, round(2.0::DOUBLE / (60 + n), 9) AS fusion, round(round(1.0::DOUBLE / (60 + n) * 2, 9) + 2 * bm25, 9) AS score FROM hits),
-    ranked AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, importance DESC, n) AS rank, score FROM scored)
-    SELECT query_id, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 6
+    fact_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, pos) AS n FROM fact_pairs WHERE bm25 > 0) WHERE n <= 24),
+    scored_facts AS (SELECT *, round(2.0::DOUBLE / (60 + n), 9) AS fusion, round(round(1.0::DOUBLE / (60 + n) * 2, 9) + 2 * bm25, 9) AS score FROM fact_hits),
+    ranked_facts AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, importance DESC, n) AS rank, score FROM scored_facts),
+    recalled_facts AS (SELECT query_id, id, rank, round(score, 6) AS score FROM ranked_facts WHERE rank <= 6
     UNION ALL
-    SELECT query_id, r.id, recency, NULL FROM asked a JOIN recent r USING (project_id)
-    WHERE recency <= 6 AND query_id NOT IN (SELECT query_id FROM ranked)""",
-)
+    SELECT query_id, r.id, recency, NULL FROM asked a JOIN recent_facts r USING (project_id)
+    WHERE recency <= 6 AND query_id NOT IN (SELECT query_id FROM ranked_facts))"""
+
+
+@register("semantic_recall", f"WITH {FACTS}, {RECALLED_FACTS} SELECT query_id, id, rank, score FROM recalled_facts")
 def semantic_recall(spark, sf):
     hits = M.semantic_recall(open_questions(spark, sf), materialized(facts(spark, sf), "facts"))
     return hits.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
@@ -391,7 +397,31 @@ def working_after_compaction(spark, sf):
     return kept.select("session_id", "memory_key")
 
 
-@register("focused_memory")
+#: Event text as stored: JSON with escaped line breaks.
+STORED_EVENT = """summary || ' {"sequence_id":' || sequence_id || ',"query":"' || replace(user_query, chr(10), chr(92) || 'n') || '","todo_title":"","answer_summary":"' || answer_summary || '","citations":[]}'"""
+LAYERS = f"{FACTS}{EPISODES[len(RUNS):]}{WORKING[len(RUNS):]}, {_picked_context(DEFAULTS.working_token_threshold)}, {_recalled_episodes(STORED_EVENT)}, {RECALLED_FACTS}"
+WORKING_LINE = f"'- ' || memory_key || ': ' || {S.compact('content', 240)}"
+EPISODE_LINE = f"'- [' || event_type || '] ' || {S.compact('summary', 160)}"
+
+
+@register(
+    "focused_memory",
+    f"""WITH RECURSIVE {LAYERS}, lines AS (
+      SELECT query_id, query, 0 AS layer, sequence_id * 2 + ordinal AS line_no, {WORKING_LINE} AS line FROM asked JOIN context USING (session_id)
+      UNION ALL SELECT query_id, query, 1, rank, {EPISODE_LINE} FROM recalled_episodes JOIN asked USING (query_id)),
+    raw_terms AS (SELECT DISTINCT query_id, query, list_filter(list_concat(regexp_extract_all(lower(query), {S.quoted(T.LATIN_TOKEN)}),
+        ['定义', '原理', '应用'], regexp_extract_all(lower({S.compact_named('query', 80)} || '{R.CONCEPT_SUFFIX}'), {S.quoted(T.LATIN_TOKEN)}),
+        list_transform(regexp_extract_all(query, '[一-鿿]{{2,}}|[A-Za-z0-9_./+-]{{2,}}'), lambda x: lower(x))), lambda v: length(v) >= 2) AS raw FROM lines),
+    line_terms AS (SELECT query_id, query, list_slice(list_filter(raw, lambda v, i: list_position(raw, v) = i), 1, 24) AS terms FROM raw_terms),
+    line_scores AS (SELECT l.*, len(list_filter(terms, lambda v: contains(lower(line), v))) AS score FROM lines l JOIN line_terms USING (query_id)),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, layer, line_no) AS rank
+      FROM line_scores WHERE score > 0) WHERE rank <= 6),
+    blocks AS (SELECT query_id, layer, CASE layer WHEN 0 THEN '### Relevant Working Memory' ELSE '### Relevant Episodic Memory' END || chr(10) ||
+      string_agg(line, chr(10) ORDER BY rank) AS block, count(*) AS n FROM best GROUP BY query_id, layer),
+    found AS (SELECT query_id, string_agg(block, chr(10) ORDER BY layer) AS text, sum(n)::INTEGER AS n_lines FROM blocks GROUP BY query_id)
+    SELECT query_id, coalesce(text, '没有找到与“' || {S.compact_named('query', 80)} || '”直接相关的项目记忆。') AS text, coalesce(n_lines, 0) AS n_lines
+    FROM line_terms LEFT JOIN found USING (query_id)""",
+)
 def focused_memory(spark, sf):
     """The memory lines of a session that speak to its open question, best six, grouped by layer."""
     asked = open_questions(spark, sf)
@@ -405,7 +435,27 @@ def focused_memory(spark, sf):
     return M.focused_lines(w.unionByName(e))
 
 
-@register("memory_context")
+def _excerpt(x: str, empty: str, limit: int) -> str:
+    text = S.strip(f"coalesce({x}, '')")
+    return f"(CASE WHEN {text} = '' THEN '{empty}' ELSE {S.strip(f'substring({text}, 1, {limit})')} END)"
+
+
+@register(
+    "memory_context",
+    f"""WITH RECURSIVE {LAYERS},
+    last AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_id DESC) AS n FROM runs),
+    shown AS (SELECT session_id, string_agg('- 用户#' || sequence_id || ': ' || {S.compact_named('user_query', 120)} || chr(10) ||
+      '  助手#' || sequence_id || ': ' || {S.compact_named('answer', 160)}, chr(10) ORDER BY sequence_id) AS turns_text FROM last WHERE n <= 4 GROUP BY session_id),
+    w AS (SELECT query_id, string_agg({WORKING_LINE}, chr(10) ORDER BY sequence_id, ordinal) AS working_text FROM asked JOIN context USING (session_id) GROUP BY query_id),
+    e AS (SELECT query_id, string_agg({EPISODE_LINE}, chr(10) ORDER BY rank) AS episodes_text FROM recalled_episodes GROUP BY query_id),
+    f AS (SELECT query_id, string_agg('- ' || fact_type || '.' || memory_key || ': ' || {S.compact('statement', 160)}, chr(10) ORDER BY rank) AS facts_text
+      FROM recalled_facts JOIN facts USING (id) GROUP BY query_id)
+    SELECT query_id, {_excerpt('turns_text', '- no prior turns yet', 900)} AS session_context,
+      'Working Memory' || chr(10) || chr(10) || coalesce(working_text, '- no working memory yet') || chr(10) || chr(10) || 'Episodic Memory' || chr(10) || chr(10) ||
+      {_excerpt('episodes_text', '- no episodic memory yet', 1200)} || chr(10) || chr(10) || 'Semantic Memory' || chr(10) || chr(10) ||
+      {_excerpt('facts_text', '- no semantic memory yet', 1200)} AS memory_context
+    FROM asked LEFT JOIN shown USING (session_id) LEFT JOIN w USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN f USING (query_id)""",
+)
 def memory_context(spark, sf):
     base = materialized(runs(spark, sf), "runs")
     facts_now = materialized(M.upsert_facts(M.fact_drafts(base)), "facts")
