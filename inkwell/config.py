@@ -33,6 +33,8 @@ class Settings:
     public_web_enabled: bool = True
     # physical: a table is broadcast only after a count proves it is below this
     broadcast_max_rows: int = 200_000
+    # physical: postings of a token that one salt of a shuffled join holds
+    salt_rows: int = 1_000_000
     # physical: query vectors that one task may hold as a matrix
     dense_block_rows: int = 4096
 

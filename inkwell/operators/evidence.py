@@ -110,7 +110,7 @@ def evidence_rows(expanded: DataFrame) -> DataFrame:
     )
 
 
-def weighted_searches(searches: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, corpus: DataFrame | None = None) -> DataFrame:
+def weighted_searches(searches: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, index: R.SearchIndex | None = None) -> DataFrame:
     """Hybrid hits of every search ``query_id, query_no, query, weight`` in one pass over the corpus.
 
     Equal search texts are scored once, whoever asks them.
@@ -118,17 +118,17 @@ def weighted_searches(searches: DataFrame, chunks: DataFrame, settings: Settings
     # A digest of the text keeps the scoring keys short.
     digest = F.unhex(F.md5("query"))
     texts = searches.select(digest.alias("query_id"), "query").distinct()
-    hits = R.hybrid_search(texts, chunks, settings.retrieval_limit, settings=settings, corpus=corpus)
+    hits = R.hybrid_search(texts, chunks, settings.retrieval_limit, settings=settings, index=index)
     flat = hits.select(F.col("query_id").alias("text_id"), "chunk_id", "rank", "score")
     asked = searches.select("query_id", "query_no", "weight", "query", digest.alias("text_id"))
     return asked.join(flat, "text_id").drop("text_id").withColumnRenamed("query", "matched_query")
 
 
 def retrieve(
-    searches: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, corpus: DataFrame | None = None
+    searches: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, index: R.SearchIndex | None = None
 ) -> DataFrame:
     """Evidence rows per query for weighted searches over two-level chunks."""
-    hits = weighted_searches(searches, chunks, settings, corpus)
+    hits = weighted_searches(searches, chunks, settings, index)
     # At most ``limit`` rows per query: written once, so that neither the count nor the payload joins repeat the search.
     merged = materialized(merge_searches(hits, settings.retrieval_limit), "merged-hits")
     return evidence_rows(with_parent_context(merged, chunks, settings))
@@ -152,18 +152,20 @@ def weak_queries(queries: DataFrame, evidence: DataFrame, settings: Settings = D
     return judged.where(F.col("top_score").isNull() | (F.col("top_score") < threshold)).select(*queries.columns)
 
 
-def retrieve_with_replan(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve_with_replan(
+    queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, index: R.SearchIndex | None = None
+) -> DataFrame:
     """Evidence with a second, broadened pass for weak queries; the stronger pass stays, ties go to the retry.
 
     Adds ``replanned`` (a second pass ran) and ``from_retry`` (its rows won).
     """
-    corpus = R.tokenized(chunks)
+    index = R.temporary_index(chunks) if index is None else index
     # Evidence is a few rows per query, but every later step reads it: write it once.
-    first = materialized(retrieve(W.rewrite_queries(queries, settings), chunks, settings, corpus), "first-pass")
+    first = materialized(retrieve(W.rewrite_queries(queries, settings), chunks, settings, index), "first-pass")
     weak = materialized(weak_queries(queries, first, settings), "weak-queries")
     if weak.isEmpty():
         return first.select("*", F.lit(False).alias("replanned"), F.lit(False).alias("from_retry"))
-    retry = materialized(retrieve(W.rewrite_queries(weak, settings, broaden=True), chunks, settings, corpus), "retry")
+    retry = materialized(retrieve(W.rewrite_queries(weak, settings, broaden=True), chunks, settings, index), "retry")
     before = strength(first, settings).select("query_id", F.col("strength").alias("before"))
     after = strength(retry, settings).select("query_id", F.col("strength").alias("after"))
     verdict = (

@@ -8,7 +8,9 @@ queries  ``query_id, query`` (+ ``scope_id`` when scopes are used).
 
 Physical design
 ---------------
-The corpus is hashed once on ``bucket`` (a hash of the chunk id). Exploding
+An index stores the token sets of the chunks, totals and inverse frequencies;
+texts are tokenised when it is written and never by a search. A search hashes
+the token sets once on ``bucket`` (a hash of the chunk id). Exploding
 tokens, joining them with the query terms, adding up scores and a first top-k
 per ``(bucket, query)`` all run inside that one partitioning, so matched
 (query, chunk) pairs never cross the network; only ``k`` rows per bucket and
@@ -19,12 +21,15 @@ are few; larger query sets use a shuffled token join with salted hot tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import DEFAULTS, Settings
 from inkwell.functions import text as T
-from inkwell.session import shuffle_partitions, within_rows
+from inkwell.session import checkpoint_root, shuffle_partitions, within_rows
 
 # Okapi BM25 and rank-fusion constants.
 K1 = 1.5
@@ -34,7 +39,6 @@ RRF_K = 60
 SCORE_DIGITS = 9
 
 GLOBAL_SCOPE = ""
-HOT_TOKEN_SALTS = 32
 
 
 def searchable(chunks: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def bucket_count(chunks: DataFrame) -> int:
 
 
 def tokenized(chunks: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
-    """``bucket, scope_id, chunk_id, pos, tokens, doc_len, has_tokens`` hashed by bucket.
+    """``bucket, scope_id, chunk_id, pos, tokens, doc_len, has_tokens`` of every searchable chunk.
 
     ``scopes(scope_id, asset_id)`` repeats a chunk once per scope that holds its
     asset, because corpus statistics differ per scope. Chunks may also bring
@@ -86,7 +90,6 @@ def tokenized(chunks: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
             (F.size("raw") > 0).alias("has_tokens"),
         )
         .withColumn("doc_len", F.size("tokens"))
-        .repartition(shuffle_partitions(chunks.sparkSession), "bucket")
     )
 
 
@@ -119,64 +122,68 @@ def document_frequencies(corpus: DataFrame) -> DataFrame:
     )
 
 
-def inverse_frequencies(corpus: DataFrame, scoped: bool = False) -> DataFrame:
+def inverse_frequencies(corpus: DataFrame, totals: DataFrame) -> DataFrame:
     """``scope_id, token, df, idf`` with the floor for tokens in most chunks.
 
     Negative values become a quarter of the mean raw value of the scope.
     """
-    freq = document_frequencies(corpus)
-    totals = corpus_totals(corpus)
+    n, df = F.col("n_chunks"), F.col("df")
+    raw = F.log(n - df + 0.5) - F.log(df + 0.5)
+    weighted = document_frequencies(corpus).join(totals, "scope_id").select("scope_id", "token", "df", raw.alias("raw_idf"))
+    means = weighted.groupBy("scope_id").agg((F.lit(IDF_FLOOR) * F.avg("raw_idf")).alias("floor"))
+    idf = F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf"))
+    return weighted.join(means, "scope_id").select("scope_id", "token", "df", idf.alias("idf"))
 
-    def raw(n: Column) -> Column:
-        return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
-    if scoped:
-        weighted = freq.join(totals.select("scope_id", "n_chunks"), "scope_id").select(
-            "scope_id", "token", "df", raw(F.col("n_chunks")).alias("raw_idf")
-        )
-        means = weighted.groupBy("scope_id").agg(F.avg("raw_idf").alias("mean_idf"))
-        weighted = weighted.join(means, "scope_id")
-        mean = F.col("mean_idf")
-    else:
-        n = totals.select(F.sum("n_chunks")).scalar()
-        weighted = freq.select("scope_id", "token", "df", raw(n).alias("raw_idf"))
-        mean = weighted.select(F.avg("raw_idf")).scalar()
-    return weighted.select(
-        "scope_id",
-        "token",
-        "df",
-        F.when(F.col("raw_idf") < 0, F.lit(IDF_FLOOR) * mean).otherwise(F.col("raw_idf")).alias("idf"),
-    )
+@dataclass(frozen=True)
+class SearchIndex:
+    """Stored token sets, totals per scope and inverse frequencies; searches read these and no text."""
+
+    corpus: DataFrame
+    totals: DataFrame
+    idf: DataFrame
+
+
+def write_index(chunks: DataFrame, path: str, scopes: DataFrame | None = None) -> SearchIndex:
+    """Tokenises the chunks once and stores tokens and statistics below ``path``."""
+
+    def stored(rows: DataFrame, part: str) -> DataFrame:
+        rows.write.mode("errorifexists").parquet(f"{path}/{part}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{part}")
+
+    corpus = stored(tokenized(chunks, scopes), "corpus")
+    totals = stored(corpus_totals(corpus), "totals")
+    return SearchIndex(corpus, totals, stored(inverse_frequencies(corpus, totals), "idf"))
 
 
-def _weighted_terms(corpus: DataFrame, terms: DataFrame, scoped: bool, small: bool) -> DataFrame:
+def read_index(spark: SparkSession, path: str) -> SearchIndex:
+    return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("corpus", "totals", "idf")])
+
+
+def temporary_index(chunks: DataFrame, scopes: DataFrame | None = None) -> SearchIndex:
+    """Index of one job below the shared folder."""
+    return write_index(chunks, f"{checkpoint_root(chunks.sparkSession).rstrip('/')}/inkwell/index-{uuid.uuid4().hex}", scopes)
+
+
+def _weighted_terms(index: SearchIndex, terms: DataFrame, small: bool) -> DataFrame:
     """Query terms with idf; terms absent from the corpus drop out."""
-    idf = inverse_frequencies(corpus, scoped)
-    if small:
-        return idf.join(F.broadcast(terms), ["scope_id", "token"])
-    return idf.join(terms, ["scope_id", "token"])
+    return index.idf.join(F.broadcast(terms) if small else terms, ["scope_id", "token"])
 
 
 def _length_factor(avg_len: Column) -> Column:
     return F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col("doc_len") / avg_len))
 
 
-def _salted_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Shuffled token join. Hot tokens are spread over salts on the corpus side."""
+def _salted_matches(postings: DataFrame, terms: DataFrame, settings: Settings) -> DataFrame:
+    """Shuffled token join. A token gets one salt per ``salt_rows`` postings, so no salt grows with the corpus."""
     spark = postings.sparkSession
-    hot_df = terms.select(F.max("df")).scalar()
-    hot = F.col("df") * HOT_TOKEN_SALTS > hot_df
-    flagged = terms.withColumn(
-        "salt",
-        F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(HOT_TOKEN_SALTS - 1))).otherwise(F.array(F.lit(-1)))),
-    )
-    hot_tokens = terms.where(hot).select("scope_id", "token").distinct().withColumn("is_hot", F.lit(True))
-    marked = postings.join(F.broadcast(hot_tokens) if within_rows(hot_tokens, 10_000) else hot_tokens,
-                           ["scope_id", "token"], "left")
-    salted = marked.withColumn(
-        "salt",
-        F.when(F.col("is_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(HOT_TOKEN_SALTS)).cast("int")).otherwise(F.lit(-1)),
-    ).drop("is_hot")
+    salts = F.ceil(F.col("df") / settings.salt_rows).cast("int")
+    flagged = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    hot = terms.where(salts > 1).select("scope_id", "token", salts.alias("salts")).distinct()
+    if within_rows(hot, settings.broadcast_max_rows):
+        hot = F.broadcast(hot)
+    marked = postings.join(hot, ["scope_id", "token"], "left")
+    salted = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
     return salted.join(flagged, ["scope_id", "token", "salt"]).drop("salt").repartition(
         shuffle_partitions(spark), "bucket", "chunk_id"
     )
@@ -184,36 +191,34 @@ def _salted_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
 def pair_scores(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | None,
     scopes: DataFrame | None = None,
     settings: Settings = DEFAULTS,
-    corpus: DataFrame | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
-    """``bucket, query_id, chunk_id, pos, overlap, bm25`` for every pair sharing a token."""
-    corpus = tokenized(chunks, scopes) if corpus is None else corpus
-    scoped = scopes is not None or "scope_id" in chunks.columns
+    """``bucket, query_id, chunk_id, pos, overlap, bm25`` for every pair sharing a token.
+
+    With a stored ``index`` the chunks are not read; without one they are indexed for this search.
+    """
+    index = temporary_index(chunks, scopes) if index is None else index
     terms = query_terms(queries)
     small = within_rows(terms, settings.broadcast_max_rows)
-    weighted = _weighted_terms(corpus, terms, scoped, small)
-    if scoped:
-        corpus = corpus.join(corpus_totals(corpus).select("scope_id", "avg_len"), "scope_id")
-        avg_len = F.col("avg_len")
-    else:
-        avg_len = corpus_totals(corpus).select(F.max("avg_len")).scalar()
-    postings = corpus.select(
+    weighted = _weighted_terms(index, terms, small)
+    corpus = index.corpus.repartition(shuffle_partitions(queries.sparkSession), "bucket")
+    postings = corpus.join(index.totals.select("scope_id", "avg_len"), "scope_id").select(
         "bucket",
         "scope_id",
         "chunk_id",
         "pos",
         "has_tokens",
-        _length_factor(avg_len).alias("factor"),
+        _length_factor(F.col("avg_len")).alias("factor"),
         F.explode_outer("tokens").alias("token"),
     )
     if small:
         # idf keeps only query tokens, so this table is no larger than the counted terms.
         matches = postings.join(F.broadcast(weighted.drop("df")), ["scope_id", "token"])
     else:
-        matches = _salted_matches(postings, weighted)
+        matches = _salted_matches(postings, weighted, settings)
     keys = ["bucket", "query_id", "chunk_id", "pos"] if small else ["bucket", "chunk_id", "query_id", "pos"]
     return matches.groupBy(*keys).agg(
         F.count_if(F.col("has_tokens") & F.col("query_has_tokens")).cast("double").alias("overlap"),
@@ -320,18 +325,20 @@ def rerank_by_model(fused: DataFrame, scores: DataFrame, limit: int, then_by: st
 
 
 def lexical_search(
-    queries: DataFrame, chunks: DataFrame, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS
+    queries: DataFrame, chunks: DataFrame | None, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
-    pairs = pair_scores(queries, chunks, scopes, settings)
+    pairs = pair_scores(queries, chunks, scopes, settings, index)
     return top_candidates(pairs, k, "overlap").select(
         "query_id", "chunk_id", "pos", "rank", F.col("overlap").alias("score")
     )
 
 
 def bm25_search(
-    queries: DataFrame, chunks: DataFrame, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS
+    queries: DataFrame, chunks: DataFrame | None, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
-    pairs = pair_scores(queries, chunks, scopes, settings)
+    pairs = pair_scores(queries, chunks, scopes, settings, index)
     return top_candidates(pairs, k, "bm25").select(
         "query_id", "chunk_id", "pos", "rank", F.col("bm25").alias("score")
     )
@@ -339,14 +346,14 @@ def bm25_search(
 
 def hybrid_search(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | None,
     limit: int | None = None,
     scopes: DataFrame | None = None,
     settings: Settings = DEFAULTS,
-    corpus: DataFrame | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Overlap and BM25 candidates, fused and reranked; ``limit`` hits per query."""
     limit = settings.retrieval_limit if limit is None else limit
     k = settings.candidates_for(limit)
-    lists = ranked_lists(pair_scores(queries, chunks, scopes, settings, corpus), k)
+    lists = ranked_lists(pair_scores(queries, chunks, scopes, settings, index), k)
     return rerank_by_sum(fuse(lists, k), limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ def prepare_documents(spark: SparkSession, folder: str, settings: Settings = DEF
 
 chunk_documents = chunking.chunk_documents
 apply_changes = store.apply_asset_changes
+build_search_index = retrieval.write_index
+read_search_index = retrieval.read_index
 hybrid_search = retrieval.hybrid_search
 rewrite_queries = rewrite.rewrite_queries
 retrieve_with_replan = evidence.retrieve_with_replan
@@ -34,9 +38,11 @@ def build_index(assets: DataFrame, path: str, settings: Settings = DEFAULTS) ->
     store.apply_asset_changes(changes, path, settings)
 
 
-def retrieve_evidence(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve_evidence(
+    queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS, index: retrieval.SearchIndex | None = None
+) -> DataFrame:
     """Questions → labelled evidence with parent context."""
-    return evidence.retrieve(rewrite.rewrite_queries(queries, settings), chunks, settings)
+    return evidence.retrieve(rewrite.rewrite_queries(queries, settings), chunks, settings, index)
 
 
 def compact_memory(working: DataFrame, summaries: DataFrame, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
@@ -53,15 +59,22 @@ def compact_memory(working: DataFrame, summaries: DataFrame, settings: Settings
 def evaluate_retrieval(
     cases: DataFrame, gold: DataFrame, strategies: dict[str, DataFrame], chunks: DataFrame, drift_marker: str = "DIST:", settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Metrics per (strategy, case). A strategy is a table of weighted searches ``query_id, query_no, query, weight``."""
-    out = None
+    """Metrics per (strategy, case). A strategy is a table of weighted searches ``query_id, query_no, query, weight``.
+
+    The strategy is part of the search key, so all strategies share one search.
+    """
+    columns = ["query_id", "query_no", "query", "weight"]
+    tables = [rows.select(F.struct(F.lit(name).alias("strategy"), "query_id").alias("query_id"), *columns[1:]) for name, rows in strategies.items()]
+    found = evidence.retrieve(reduce(DataFrame.unionByName, tables), chunks, settings).withColumnRenamed("query_id", "case_id")
+    names = F.explode(F.array(*[F.lit(name) for name in strategies])).alias("strategy")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        key = F.struct("strategy", F.col("case_id").alias("query_id"))
+        return rows.select("*", names).withColumn("case_id", key).drop("strategy")
+
     text = F.concat_ws("\n", "title", "snippet")
-    for name, searches in strategies.items():
-        found = evidence.retrieve(searches, chunks, settings).withColumnRenamed("query_id", "case_id")
-        rows = evaluation.retrieval_metrics(cases, found, gold, text, F.contains(text, F.lit(drift_marker)))
-        rows = rows.withColumn("strategy", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = evaluation.retrieval_metrics(keyed(cases), found, keyed(gold), text, F.contains(text, F.lit(drift_marker)))
+    return rows.withColumn("strategy", F.col("case_id.strategy")).withColumn("case_id", F.col("case_id.query_id"))
 
 
 def evaluate_decisions(records: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:

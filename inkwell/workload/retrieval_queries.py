@@ -57,8 +57,7 @@ def tokenize_stats(spark, sf):
     f"""WITH {SEARCH} SELECT token, df, round(idf, 6) AS idf FROM idf""",
 )
 def bm25_stats(spark, sf):
-    corpus = R.tokenized(document_chunks(spark, sf))
-    return R.inverse_frequencies(corpus).select("token", "df", F.round("idf", 6).alias("idf"))
+    return R.temporary_index(document_chunks(spark, sf)).idf.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @register(

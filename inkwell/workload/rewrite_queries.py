@@ -266,6 +266,37 @@ def multi_query_merge(spark, sf):
     return merged.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
 
 
+@register(
+    "retrieval_strategies",
+    f"""WITH {_MERGE_SQL},
+    strategy_lists AS (
+      SELECT 'rewritten' AS strategy, query_id, chunk_id, score, first_seen FROM merged
+      UNION ALL SELECT 'plain', query_id, chunk_id, max(boosted), min((query_no, rank)) FROM boosted WHERE query_no = 1 GROUP BY query_id, chunk_id),
+    shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, first_seen) AS place FROM strategy_lists) WHERE place <= 5),
+    found AS (
+      SELECT strategy, query_id, min(place) FILTER (WHERE contains(d.text, b.text)) AS first, bool_or(place = 1 AND doc_id % 7 = 0) AS drift
+      FROM shown s JOIN documents d ON d.doc_id = s.chunk_id JOIN benchmark b ON b.item_id = s.query_id GROUP BY strategy, query_id)
+    SELECT t.strategy, item_id AS case_id, coalesce((first <= 1)::INT, 0)::DOUBLE AS hit1, coalesce((first <= 5)::INT, 0)::DOUBLE AS hit5,
+      coalesce(1.0::DOUBLE / first, 0) AS mrr5, coalesce(first, 999) AS top_gold_rank, coalesce(drift::INT, 0)::DOUBLE AS drift
+    FROM benchmark CROSS JOIN (VALUES ('plain'), ('rewritten')) t(strategy) LEFT JOIN found f ON f.strategy = t.strategy AND f.query_id = item_id""",
+)
+def retrieval_strategies(spark, sf):
+    """One search or two weighted ones per benchmark text; every seventh document counts as a distractor."""
+    from inkwell.plans import jobs
+    from inkwell.workload.retrieval_queries import document_chunks
+
+    base = benchmark_queries(spark, sf)
+    plain = base.select("query_id", F.lit(1).alias("query_no"), "query", F.lit(1.0).alias("weight"))
+    short = base.select("query_id", F.lit(2).alias("query_no"), T.compact_named(F.col("query"), 96).alias("query"), F.lit(0.68).alias("weight"))
+    chunks = document_chunks(spark, sf).select(
+        "*", F.when(F.col("chunk_id") % 7 == 0, "DIST: other").otherwise("document").alias("title"), F.lit("note").alias("asset_type"),
+        F.lit("").alias("source_path"), F.lit(None).cast("bigint").alias("parent_id"), F.lit("child").alias("chunk_level"),
+    )
+    gold = base.select(F.col("query_id").alias("case_id"), F.col("query").alias("marker"))
+    rows = jobs.evaluate_retrieval(gold.select("case_id"), gold, {"plain": plain, "rewritten": plain.unionByName(short)}, chunks)
+    return rows.select("strategy", "case_id", "hit1", "hit5", "mrr5", F.col("top_gold_rank").cast("bigint").alias("top_gold_rank"), "drift")
+
+
 _METRIC_CASES = f"""WITH {S.search_ctes("SELECT doc_id AS chunk_id, doc_id AS pos, text AS content FROM documents",
                                   "SELECT item_id AS query_id, text AS query FROM benchmark")},
     dense AS ({S.top_k('overlap', 20)}), sparse AS ({S.top_k('bm25', 20)}), {S.fusion_ctes(20)},

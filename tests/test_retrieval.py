@@ -49,7 +49,7 @@ def test_bm25_matches_brute_force(spark, sf):
 def test_shuffled_path_equals_broadcast_path(spark, sf):
     docs, asked = WQ.document_chunks(spark, sf), WQ.benchmark_queries(spark, sf)
     small = R.pair_scores(asked, docs).drop("bucket")
-    large = R.pair_scores(asked, docs, settings=Settings(broadcast_max_rows=10)).drop("bucket")
+    large = R.pair_scores(asked, docs, settings=Settings(broadcast_max_rows=10, salt_rows=20)).drop("bucket")
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
 
 
@@ -70,6 +70,16 @@ def test_pairs_are_not_shuffled(spark, sf):
     assert upper.count("Exchange") == 1
 
 
+def test_stored_index_reads_no_text(spark, sf, tmp_path):
+    asked, docs = WQ.benchmark_queries(spark, sf), WQ.document_chunks(spark, sf)
+    R.write_index(docs, str(tmp_path / "index"))
+    found = R.hybrid_search(asked, None, 5, index=R.read_index(spark, str(tmp_path / "index")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan
+    direct = R.hybrid_search(asked, docs, 5)
+    assert found.exceptAll(direct).isEmpty() and direct.exceptAll(found).isEmpty()
+
+
 def test_levels_and_scope(spark):
     chunks = spark.createDataFrame(
         [("c1", 1, "alpha beta", None, "a"), ("c2", 2, "alpha", "parent", "a"), ("c3", 3, "alpha", "child", "b")],
