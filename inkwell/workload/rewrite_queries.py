@@ -17,6 +17,7 @@ from inkwell.operators import chunking as C
 from inkwell.operators import evaluation as E
 from inkwell.operators import evidence as V
 from inkwell.session import materialized, table
+from inkwell.workload import chunk_sql as CS
 from inkwell.workload import sqltext as S
 from inkwell.workload.registry import register
 from inkwell.workload.retrieval_queries import benchmark_queries, documents
@@ -179,9 +180,15 @@ def assets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("chunk_documents")
+@register(
+    "chunk_documents",
+    f"""WITH RECURSIVE {CS.CHUNKS}
+    SELECT doc_id::VARCHAR AS asset_id, chunk_id, title, asset_type, text AS content, source_path, chunk_level, parent_id, '正文' AS section_path,
+      0 AS page_start, 0 AS page_end, size::BIGINT AS token_count, doc_id * 1073741824 + number AS pos FROM chunks""",
+)
 def chunk_documents(spark, sf):
-    return C.chunk_documents(assets(spark, sf))
+    rows = C.chunk_documents(assets(spark, sf))
+    return rows.withColumn("token_count", F.col("token_count").cast("bigint"))
 
 
 @register(
@@ -206,7 +213,7 @@ def section_split(spark, sf):
     return C.section_rows(docs).select("doc_id", "heading", "body")
 
 
-@register("sentence_rows")
+@register("sentence_rows", f"WITH {CS.SENTENCES} SELECT doc_id, \"at\", text, len({CS.rough('text')}) AS n_tokens FROM sentences")
 def sentence_rows(spark, sf):
     spans = C.sentence_spans(F.col("text"))
     return documents(spark, sf).select("doc_id", F.posexplode_outer(spans).alias("at", "s")).where("s is not null").select(

@@ -14,6 +14,7 @@ from inkwell.session import checkpoint_root, spread, table
 from inkwell.sources import ingest, store
 from inkwell.streaming import feeds
 from inkwell.workload import memory_queries as MQ
+from inkwell.workload import chunk_sql as CS
 from inkwell.workload import sqltext as S
 from inkwell.workload.registry import register
 
@@ -143,7 +144,11 @@ def stream_fact_feed(spark, sf):
     )
 
 
-@register("stream_index_feed")
+@register(
+    "stream_index_feed",
+    f"""WITH RECURSIVE {CS.CHUNKS}
+    SELECT doc_id::VARCHAR AS asset_id, chunk_id, chunk_level, size::INTEGER AS token_count, text AS content FROM chunks WHERE lang IS DISTINCT FROM 'es'""",
+)
 def stream_index_feed(spark, sf):
     """Documents as an asset change stream into the bucketed chunk index."""
     docs = stream_table(spark, sf, "documents")
