@@ -150,3 +150,44 @@ def test_topics_of_any_depth(spark):
     rows = V.search_result_rows(spark.createDataFrame(payloads, "run_id int, query string, payload string")).orderBy("n").collect()
     assert [r.snippet for r in rows] == [f"before {d}" for d in (4, 3, 2, 1, 0)]
     assert V._leaf_topics(payloads[0][2])[-1] == ("leaf", "u")
+
+
+def test_rewriting_beats_plain_search_on_golden_questions(spark):
+    from inkwell.operators.chunking import chunk_documents
+    from inkwell.operators.evaluation import summarize_metrics
+    from inkwell.plans import jobs
+
+    assets = spark.createDataFrame(
+        [
+            ("a1", "Robust sentences", "note", "DeepSC trains a Transformer and reports sentence similarity. 低SNR 语义相似度"),
+            ("a2", "Inference at the edge", "note", "DDIB follows the information bottleneck and its rate-relevance tradeoff. 边缘推理"),
+            ("a3", "Sending again", "note", "Selective retransmission repeats 错误语义片段 only."),
+            ("a4", "Pilots in motion", "note", "A superimposed pilot helps 信道估计 at 高速移动."),
+            ("a5", "Attacks", "note", "R-DeepSC meets literal semantic noise with adversarial training."),
+            ("d1", "DIST: recipes", "note", "The semantic meaning of a sentence under noise in a kitchen of devices."),
+            ("d2", "DIST: planes", "note", "Moving fast, the crew failed; pieces of text on the wing while landing."),
+        ],
+        "asset_id string, title string, asset_type string, content string",
+    )
+    golden = [
+        (1, "semantic sentence meaning under noise, 低信噪比", "Robust sentences"),
+        (2, "semantic tradeoff of 边缘 devices", "Inference at the edge"),
+        (3, "semantic 重传 of failed pieces", "Sending again"),
+        (4, "semantic 导频 while moving fast", "Pilots in motion"),
+        (5, "semantic noise under attack", "Attacks"),
+    ]
+    cases = spark.createDataFrame(golden, "case_id int, query string, marker string")
+    asked = cases.select(F.col("case_id").alias("query_id"), "query")
+    full = RQ.W.rewrite_queries(asked)
+    strategies = {
+        "plain": asked.select("query_id", F.lit(1).alias("query_no"), "query", F.lit(1.0).alias("weight")),
+        "three": full.where("query_no <= 3"),
+        "full": full,
+    }
+    rows = jobs.evaluate_retrieval(cases.select("case_id"), cases.select("case_id", "marker"), strategies, chunk_documents(assets))
+    got = {r.strategy: r for r in summarize_metrics(rows, ["strategy"]).collect()}
+    plain, three, best = got["plain"], got["three"], got["full"]
+    assert {r.n_cases for r in got.values()} == {5}
+    assert best.hit5 >= plain.hit5 and best.mrr5 > plain.mrr5 and best.coverage5 > plain.coverage5
+    assert three.mrr5 >= plain.mrr5 and best.hit1 > plain.hit1
+    assert best.drift_rate <= plain.drift_rate and plain.drift_rate > 0
