@@ -131,13 +131,14 @@ def compact_sessions(items: DataFrame, settings: Settings = DEFAULTS, answer_ord
 
 
 def track_uploads(parts: DataFrame) -> DataFrame:
-    """Stream of good parts ``upload_id, part_index, total_chunks`` → one row per upload when its last part arrives.
+    """Stream of parts ``upload_id, part_index, total_chunks`` → one row per upload when its last part arrives.
 
-    Repeated parts are dropped by key, so the count of an upload reaches its
-    total exactly once and never changes again. State and counting stay in the
-    JVM. Runs in update mode (see :func:`run_updates`).
+    Parts outside their upload are rejected and repeated ones are dropped by key, so the count of an upload reaches its
+    total exactly once and never changes again. State and counting stay in the JVM. Runs in update mode (see
+    :func:`run_updates`).
     """
-    fresh = parts.select("upload_id", "part_index", F.col("total_chunks").cast("int")).dropDuplicates(["upload_id", "part_index"])
+    inside = parts.where((F.col("part_index") >= 0) & (F.col("part_index") < F.col("total_chunks")))
+    fresh = inside.select("upload_id", "part_index", F.col("total_chunks").cast("int")).dropDuplicates(["upload_id", "part_index"])
     counts = fresh.groupBy("upload_id").agg(F.count("*").alias("n"), F.max("total_chunks").alias("total_chunks"))
     return counts.where(F.col("n") == F.col("total_chunks")).select("upload_id", "total_chunks")
 

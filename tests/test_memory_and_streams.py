@@ -198,7 +198,7 @@ def test_stream_compaction_does_not_depend_on_triggers(spark, tmp_path, files):
 
 
 def test_uploads_finish_once(spark, tmp_path):
-    rows = [("u", 0, 3), ("u", 2, 3), ("u", 2, 3), ("u", 1, 3), ("u", 1, 3), ("v", 0, 2)]
+    rows = [("u", 0, 3), ("u", 2, 3), ("u", 2, 3), ("u", 1, 3), ("u", 1, 3), ("v", 0, 2), ("v", 2, 2), ("v", -1, 2)]
     got = _stream(spark, tmp_path, rows, "upload_id string, part_index int, total_chunks int", 6, feeds.track_uploads, "up", feeds.run_updates)
     assert [(r.upload_id, r.total_chunks) for r in got] == [("u", 3)]
 
