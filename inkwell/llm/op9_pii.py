@@ -4,8 +4,9 @@ Base kinds are email, ip, card and phone. Their spans stay whenever the pattern
 Luhn, digit count); context can only raise their score. The method adds IBANs confirmed by mod-97, and national numbers
 and local phone numbers that need a context word close by. Added spans never overlap base ones.
 
-Offsets are code points, the end is exclusive. Matches are leftmost and do not overlap within a kind; a match that fails
-its validator is dropped without a retry. Every pattern consumes whole runs, so the time is linear in the text.
+Offsets are code points, the end is exclusive. Matches are leftmost and do not overlap within a kind; a base match that
+fails its validator is dropped without a retry. Every base pattern consumes whole runs; an IBAN is tried at each of its
+possible starts, within its country's length, so the time is linear in the text.
 
 Defined results: a null or empty text has no spans; repeated rows are scored alike; an empty table gives an empty
 result; only the identifier and the text are read, so further columns cannot clash.
@@ -33,7 +34,19 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
 IP = re.compile(r"[0-9]+((?:\.[0-9]+){3})?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})")
+#: The characters after the check digits: groups of four, of which the last may be shorter.
+IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+#: Characters of a country's IBANs; other country codes may end after any group.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (part.split(":") for part in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 
@@ -70,6 +83,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _iban_end(text: str, start: int) -> int | None:
+    """End of the longest IBAN at ``start`` that has its country's length, stops at a word's end and agrees with mod-97."""
+    run = IBAN_REST.match(text, start + 4)
+    if run is None:
+        return None
+    length = IBAN_LENGTHS.get(text[start : start + 2])
+    for end in range(run.end(), start + 14, -1):
+        if text[end - 1] == " " or (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+            continue
+        plain = text[start:end].replace(" ", "")
+        if (len(plain) == length if length else 15 <= len(plain) <= 34) and mod97(plain):
+            return end
+    return None
+
+
 def _small(part: str) -> bool:
     short = part.lstrip("0")
     return len(short) <= 3 and int(short or "0") <= 255
@@ -100,10 +128,12 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
+    behind = 0
     for m in IBAN.finditer(text, max(0, at - 2)):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", m.start(), m.end()
+        end = _iban_end(text, m.start()) if m.start() >= behind else None
+        if end is not None:
+            behind = end
+            yield "iban", m.start(), end
     for m in NATIONAL.finditer(text, at):
         yield "national_id", m.start(), m.end()
     for m in LOCAL.finditer(text, max(0, at - 1)):

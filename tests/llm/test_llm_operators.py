@@ -146,6 +146,16 @@ def test_pii_spans():
     assert op9_pii.spans_of("a" * 300_000 + " 1" + "2" * 100_000) == []
 
 
+def test_pii_ibans_before_other_words():
+    for iban in ("AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "AT611904300234573201"):
+        for rest in (" BIC BKAUATWW", " EUR 500", " 2024", ", paid", ""):
+            found = [(s["value"], s["start"]) for s in op9_pii.spans_of(f"IBAN {iban}{rest}") if s["kind"] == "iban"]
+            assert found == [(iban, 5)], (iban, rest)
+    both = "XX12 3456 7890 AT61 1904 3002 3457 3201 BE68 5390 0754 7034 EUR"
+    assert [s["value"] for s in op9_pii.spans_of(both) if s["kind"] == "iban"] == ["AT61 1904 3002 3457 3201", "BE68 5390 0754 7034"]
+    assert not [s for s in op9_pii.spans_of("IBAN AT61 1904 3002 3457 3202 BIC BKAUATWW") if s["kind"] == "iban"]
+
+
 def test_pii_base_equals_plain_patterns():
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
