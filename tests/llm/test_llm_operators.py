@@ -272,6 +272,27 @@ def test_leaks_exact_and_reparameterised(spark):
     assert op6_decontaminate.decontaminated(docs, items.limit(0)).count() == 7
 
 
+def test_leaks_with_changed_tokens_at_every_offset(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"q{''.join(rng.choice('abcdefgh') for _ in range(9))}" for _ in range(n)]
+    long, short, six = fresh(48), fresh(3), fresh(6)
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(six))], "item_id bigint, text string")
+    rows, want = [], set()
+    for every in (2, 5, 6, 8):
+        for at in range(5):
+            changed = [w if (j + 1) % every else fresh(1)[0] for j, w in enumerate(long)]
+            rows.append((len(rows), " ".join(fresh(20 + at) + changed + fresh(9)), "en", "a"))
+            want.add((rows[-1][0], 1))
+    for at in range(5):
+        rows.append((len(rows), " ".join(fresh(20 + at) + short + fresh(9) + six[:2] + ["other"] + six[3:] + fresh(3)), "en", "a"))
+        want |= {(rows[-1][0], 2), (rows[-1][0], 3)}
+    rows.append((len(rows), " ".join(fresh(20) + [w if j % 5 < 2 else fresh(1)[0] for j, w in enumerate(long[:30])] + long[:2] + short[:2]), "en", "a"))
+    _, found = op6_decontaminate.leaks(documents(spark, rows), items)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want - {(rows[-1][0], 2)}
+    alone = op6_decontaminate.leaks(documents(spark, rows), items.where("item_id = 1"))[1]
+    assert {(r["doc_id"], r["item_id"]) for r in alone.collect()} == {w for w in want if w[1] == 1}
+
+
 def test_kneser_ney_sums_to_one_and_shards_agree(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abc ") for _ in range(200)) for _ in range(20)]
