@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkwell.llm import (
     op1_quality, op2_mixing, op3_html, op4_toxicity, op5_licenses, op6_decontaminate, op7_minhash, op8_warc, op9_pii, op10_exact_dedup,
-    op11_conversation_repair,
+    op11_conversation_repair, op13_spelling_variants,
 )
 
 QUERIES = {
@@ -19,5 +19,11 @@ QUERIES = {
     "op9_pii": op9_pii.query,
     "op10_exact_dedup": op10_exact_dedup.query,
     "op11_conversation_repair": op11_conversation_repair.query,
+    "op13_spelling_variants": op13_spelling_variants.query,
+}
+ORACLES = {
+    "op8_warc": op8_warc.SQL,
+    "op10_exact_dedup": op10_exact_dedup.SQL,
+    "op11_conversation_repair": op11_conversation_repair.SQL,
+    "op13_spelling_variants": op13_spelling_variants.SQL,
 }
-ORACLES = {"op8_warc": op8_warc.SQL, "op10_exact_dedup": op10_exact_dedup.SQL, "op11_conversation_repair": op11_conversation_repair.SQL}
