@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkwell.llm import (
     op1_quality, op2_mixing, op3_html, op4_toxicity, op5_licenses, op6_decontaminate, op7_minhash, op8_warc, op9_pii, op10_exact_dedup,
-    op11_conversation_repair, op13_spelling_variants,
+    op11_conversation_repair, op12_language_id, op13_spelling_variants,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_pii": op9_pii.query,
     "op10_exact_dedup": op10_exact_dedup.query,
     "op11_conversation_repair": op11_conversation_repair.query,
+    "op12_language_id": op12_language_id.query,
     "op13_spelling_variants": op13_spelling_variants.query,
 }
 ORACLES = {
