@@ -21,4 +21,5 @@ MODULES = (
     "workspace_queries",
     "stream_queries",
     "layout_queries",
+    "corpus_queries",
 )
