@@ -6,8 +6,9 @@ every diagonal that could meet a rule. Candidates come from one join on hashes o
 
 * template windows of the item's own width (``_width``): four tokens, or three where 80 % of the item can agree without
   a run of four; shorter items are one window;
-* the item's rarest literal tokens. If half of the item agrees, at least ``hits`` of its ``length // 2 + hits`` rarest
-  tokens do, so a diagonal with fewer hits cannot. Rarity is counted on a sample and only saves time.
+* pairs of literal tokens within groups of three neighbours (four in an item of four). If half of the item agrees, two
+  tokens of some groups do: of n groups and m agreeing tokens at least (m - n) / 2, so a diagonal with fewer pairs cannot.
+  Pairs are far rarer than words, so few diagonals leave the scan.
 
 So both shares are found wherever the item stands, and no item changes another's result. The rules:
 
@@ -22,7 +23,7 @@ items are reported each; an empty table gives an empty result; further columns o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import bounded, numbered, stage, table
@@ -62,21 +63,30 @@ def _width(length: Column) -> Column:
     return F.when(length.isin(6, 7, 10, 11, 15), 3).otherwise(F.least(length, F.lit(4)))
 
 
-def _keys(df: DataFrame, widths: list[int]) -> DataFrame:
-    """(id, at, h): hashes of the windows of ``form`` that start at each token, and of each token of ``raw``."""
-    size = F.size("form")  # a second use of ``form``: used once, Spark would compute it again for every window
-    window = lambda w: F.transform(
-        F.sequence(F.lit(1), size), lambda i: F.when(i + (w - 1) <= size, F.xxhash64(F.lit(w), F.slice("form", i, w)))
-    )
-    keys = F.when(size > 0, F.concat(*[window(w) for w in widths], F.transform("raw", _literal)))
-    # ``form`` must not stand beside the exploded rows, so its size is a column of its own below them.
-    sized = df.select("id", size.alias("size"), keys.alias("keys"))
-    found = sized.select("id", "size", F.posexplode_outer("keys").alias("pos", "h"))
-    return found.where("h IS NOT NULL").select("id", (F.col("pos") % F.col("size")).alias("at"), "h")
+def _gaps(length: Column) -> Column:
+    """Largest distance of two tokens of one group: groups have three tokens, or four in an item of four."""
+    return F.when(length == 4, 3).otherwise(2)
+
 
+def _keys(df: DataFrame, widths: list[int], gaps: list[int]) -> DataFrame:
+    """(id, size, kind, at, h) of (id, raw): hashes of template windows of each width and of literal pairs at each distance.
 
-def _literal(token: Column) -> Column:
-    return F.xxhash64(F.lower(token))
+    ``kind`` numbers the widths, then the distances; ``at`` is the first token. Every token is hashed once, windows and pairs combine hashes.
+    """
+    # each list is used more than once by the step above it, so Spark does not compute it again for every token
+    words = df.select("id", "raw", F.transform("raw", lambda t: F.xxhash64(F.lower(t))).alias("word"))
+    # marks and digits stand before the colon, letters behind it; all other tokens are their own template
+    form = F.zip_with("raw", "word", lambda t, h: F.when(t < F.lit(":"), F.xxhash64(template(t))).otherwise(h))
+    hashes = words.select("id", "word", F.size("raw").alias("size"), form.alias("form"))
+    size = F.col("size")
+    places = F.sequence(F.lit(0), size - 1)
+    # beyond the end there are nulls, which hashes skip: such a key is no key of an item, as the index has whole ones only
+    window = lambda w: F.transform(places, lambda i: F.xxhash64(*[F.get("form", i + k) for k in range(w)]))
+    pair = lambda g: F.transform(places, lambda i: F.xxhash64(F.lit(g), F.get("word", i), F.get("word", i + g)))
+    keys = F.when(size > 0, F.concat(*[window(w) for w in widths], *[pair(g) for g in gaps]))
+    # the lists must not stand beside the exploded rows, so their size is a column of its own below them
+    found = hashes.select("id", "size", keys.alias("keys")).select("id", "size", F.posexplode_outer("keys").alias("pos", "h"))
+    return found.where("h IS NOT NULL").select("id", "size", F.expr("pos div size").alias("kind"), (F.col("pos") % F.col("size")).alias("at"), "h")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -86,43 +96,41 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return stage(items.withColumn("length", F.size("form")), "items")
 
 
-def _index(docs: DataFrame, items: DataFrame, hits: int, broadcast_rows: int) -> DataFrame:
-    """Keys of the items: (h, item, at, weight, need). A window's weight is enough, a rare token is one of ``need``."""
-    items = items.select("id", "raw", "form", "length").where("length > 0").withColumn("width", _width(F.col("length")))
-    place = F.sequence(F.lit(1), F.col("length") - F.col("width") + 1)
-    windows = F.transform(place, lambda i: F.xxhash64(F.col("width"), F.slice("form", i, F.col("width"))))
-    whole = items.select(F.posexplode(windows).alias("at", "h"), F.col("id").alias("item"), F.lit(hits).alias("weight"), F.lit(hits).alias("need"))
-
-    single = items.where("length >= 4").select("id", "length", F.posexplode(F.transform("raw", _literal)).alias("at", "h"))
-    sample = docs.where(F.pmod(F.xxhash64("uid"), F.lit(32)) == 0).select(F.explode_outer(F.transform(tokens(F.col("text")), _literal)).alias("h"))
-    known = stage(single.select("h").distinct(), "item-tokens")
-    counts = stage(sample.join(bounded(known, broadcast_rows), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")), "rarity")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "at"))
-    need = F.least(F.lit(hits), F.ceil(F.col("length") / 2)).cast("int")
-    ranked = single.join(bounded(counts, broadcast_rows), "h", "left").withColumn("rank", rank).withColumn("need", need)
-    rare = ranked.where("rank <= length div 2 + need").select("at", "h", F.col("id").alias("item"), F.lit(1).alias("weight"), "need")
-    return stage(whole.unionByName(rare), "index")
-
-
-def _candidates(docs: DataFrame, items: DataFrame, hits: int, broadcast_rows: int) -> DataFrame:
-    """Diagonals (uid, item, shift) with a common window or enough rare tokens."""
-    index = _index(docs, items, hits, broadcast_rows).select("item", F.col("at").alias("start"), "h", "weight", "need")
-    widths = [r["w"] for r in items.where("length > 0").select(_width(F.col("length")).alias("w")).distinct().orderBy("w").collect()]
-    raw = docs.select(F.col("uid").alias("id"), tokens(F.col("text")).alias("raw"))
-    seen = _keys(raw.select("id", "raw", F.transform("raw", template).alias("form")), widths).join(bounded(index, broadcast_rows), "h")
+def _index(items: DataFrame, widths: list[int], gaps: list[int]) -> DataFrame:
+    """Keys of the items: (h, item, start, weight, need). A window's weight is enough, a pair is one of ``need``."""
+    keys = _keys(items.where("length > 0").select("id", "raw"), widths, gaps)
+    of_kind = lambda values, first: F.element_at(F.array(*map(F.lit, values)), F.col("kind").cast("int") - first + 1)
+    length, group = F.col("size"), _gaps(F.col("size")) + 1
+    width, gap = of_kind(widths, 0), of_kind(gaps, len(widths))
+    need = F.greatest(F.lit(1), F.ceil((F.ceil(length / 2) - F.ceil(length / group)) / 2)).cast("int")
+    whole = (width == _width(length)) & (F.col("at") + width <= length)
+    window = keys.where(F.col("kind") < len(widths)).where(whole).select("h", "id", "at", need.alias("weight"), need.alias("need"))
+    inside = F.floor(F.col("at") / group) == F.floor((F.col("at") + gap) / group)
+    whole = (length >= 4) & (F.col("at") + gap < length)
+    pair = keys.where(F.col("kind") >= len(widths)).where(whole & inside).select("h", "id", "at", F.lit(1).alias("weight"), need.alias("need"))
+    return stage(window.unionByName(pair).select("h", F.col("id").alias("item"), F.col("at").alias("start"), "weight", "need"), "index")
+
+
+def _candidates(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Diagonals (uid, item, shift) with a common window or enough literal pairs."""
+    lengths = items.where("length > 0").select(_width(F.col("length")).alias("w"), _gaps(F.col("length")).alias("g")).distinct().collect()
+    widths, gaps = sorted({r["w"] for r in lengths}), list(range(1, max((r["g"] for r in lengths), default=2) + 1))
+    index = _index(items, widths, gaps)
+    seen = _keys(docs.select(F.col("uid").alias("id"), tokens(F.col("text")).alias("raw")), widths, gaps)
+    met = seen.select("id", "at", "h").join(bounded(index, broadcast_rows), "h")
     shift = (F.col("at") - F.col("start")).alias("shift")
-    found = seen.groupBy(F.col("id").alias("uid"), "item", shift, "need").agg(F.sum("weight").alias("n"))
+    found = met.groupBy(F.col("id").alias("uid"), "item", shift, "need").agg(F.sum("weight").alias("n"))
     return found.where("n >= need").select("uid", "item", "shift").distinct()
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, hits: int = 3, broadcast_rows: int = 1_000_000
+    docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000
 ) -> tuple[DataFrame, DataFrame]:
     """Returns the numbered documents (uid, row) and the leaks: uid, doc_id, item_id, kind, matched, length, coverage, slots."""
     rows = stage(numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "uid"), "rows")
     texts = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     items = items_of(benchmark)
-    found = stage(_candidates(texts, items, hits, broadcast_rows), "candidates")
+    found = stage(_candidates(texts, items, broadcast_rows), "candidates")
 
     wanted = stage(found.select("uid").distinct(), "wanted")
     near = texts.join(bounded(wanted, broadcast_rows), "uid").select("uid", "doc_id", tokens(F.col("text")).alias("doc"))
