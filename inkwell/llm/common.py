@@ -9,6 +9,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _local_dirs: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """The paths that are made inside the ``with`` block."""
+    first, inside = len(_made), []
+    try:
+        yield inside
+    finally:
+        inside += _made[first:]
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables; nothing that still has to run may read them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while paths:
+        path = hadoop.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -41,9 +64,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> None:
     """Deletes every staged table of this application; call it when its results have been stored."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_tables(spark, [shared_dir(spark)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
