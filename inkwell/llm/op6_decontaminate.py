@@ -7,8 +7,8 @@ every diagonal that could meet a rule. Candidates come from one join on hashes o
 * template windows of the item's own width (``_width``): four tokens, or three where 80 % of the item can agree without
   a run of four; shorter items are one window;
 * pairs of literal tokens within groups of three neighbours (four in an item of four). If half of the item agrees, two
-  tokens of some groups do: of n groups and m agreeing tokens at least (m - n) / 2, so a diagonal with fewer pairs cannot.
-  Pairs are far rarer than words, so few diagonals leave the scan.
+  tokens of some groups do. A group of which c tokens agree has at least c - 1 pairs, so m agreeing tokens in n groups have
+  at least m - n pairs, and a diagonal with fewer cannot. Pairs are far rarer than words, so few diagonals remain.
 
 So both shares are found wherever the item stands, and no item changes another's result. The rules:
 
@@ -102,7 +102,7 @@ def _index(items: DataFrame, widths: list[int], gaps: list[int]) -> DataFrame:
     of_kind = lambda values, first: F.element_at(F.array(*map(F.lit, values)), F.col("kind").cast("int") - first + 1)
     length, group = F.col("size"), _gaps(F.col("size")) + 1
     width, gap = of_kind(widths, 0), of_kind(gaps, len(widths))
-    need = F.greatest(F.lit(1), F.ceil((F.ceil(length / 2) - F.ceil(length / group)) / 2)).cast("int")
+    need = F.greatest(F.lit(1), F.ceil(length / 2) - F.ceil(length / group)).cast("int")
     whole = (width == _width(length)) & (F.col("at") + width <= length)
     window = keys.where(F.col("kind") < len(widths)).where(whole).select("h", "id", "at", need.alias("weight"), need.alias("need"))
     inside = F.floor(F.col("at") / group) == F.floor((F.col("at") + gap) / group)
