@@ -156,3 +156,40 @@ def report(metrics: DataFrame) -> DataFrame:
     """``stage, metric, value, percent`` for every reported rate."""
     long = metrics.unpivot("stage", list(REPORT_METRICS), "metric", "value")
     return long.withColumn("percent", F.format_string("%.1f%%", F.col("value") * 100))
+
+
+# --- evidence labels -------------------------------------------------------------------
+
+
+def label_counts(questions: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """The rows of ``questions(question, ...)`` with ``n_predicted, n_gold, n_both``; repeated labels count once, null ones never."""
+    side = lambda rows, name: rows.where("question IS NOT NULL AND label IS NOT NULL").select("question", "label", F.lit(name).alias("side"))
+    pairs = side(predicted, "p").unionByName(side(gold, "g")).groupBy("question", "label").agg(
+        F.bool_or(F.col("side") == "p").alias("p"), F.bool_or(F.col("side") == "g").alias("g")
+    )
+    counts = pairs.groupBy("question").agg(
+        F.count_if("p").alias("n_predicted"), F.count_if("g").alias("n_gold"), F.count_if(F.col("p") & F.col("g")).alias("n_both")
+    )
+    zero = F.lit(0).cast("bigint")
+    filled = {c: F.coalesce(c, zero) for c in ("n_predicted", "n_gold", "n_both")}
+    return questions.join(counts, "question", "left").withColumns(filled)
+
+
+def evidence_scores(questions: DataFrame, predicted: DataFrame, gold: DataFrame, by: str) -> DataFrame:
+    """Macro and micro precision, recall and F1 of evidence labels, by group and in all (``scope`` is group or all).
+
+    Of an empty prediction the precision is 1 if there is nothing to find, else 0; the recall of an empty gold set is 1 if nothing was
+    predicted, else 0. Both scopes come from one pass with grouping sets; the null group is a group of its own.
+    """
+    share = lambda n, of, other: F.when(of > 0, n / of).otherwise(F.when(other == 0, 1.0).otherwise(0.0))
+    f1 = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    n, p, g = F.col("n_both"), F.col("n_predicted"), F.col("n_gold")
+    rows = label_counts(questions, predicted, gold).withColumns({"precision": share(n, p, g), "recall": share(n, g, p)})
+    rows = rows.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    sums = rows.groupingSets([[F.col(by)], []], F.col(by)).agg(
+        F.when(F.grouping(by) == 1, "all").otherwise("group").alias("scope"), F.count(F.lit(1)).alias("n_questions"),
+        *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
+        *[F.sum(c).alias(c) for c in ("n_both", "n_predicted", "n_gold")],
+    )
+    micro = sums.withColumns({"micro_precision": share(n, p, g), "micro_recall": share(n, g, p)})
+    return micro.withColumn("micro_f1", f1(F.col("micro_precision"), F.col("micro_recall"))).drop("n_both", "n_predicted", "n_gold")

@@ -22,4 +22,5 @@ MODULES = (
     "stream_queries",
     "layout_queries",
     "corpus_queries",
+    "comparison_queries",
 )
