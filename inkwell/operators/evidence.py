@@ -166,6 +166,11 @@ def retrieve_with_replan(
     if weak.isEmpty():
         return first.select("*", F.lit(False).alias("replanned"), F.lit(False).alias("from_retry"))
     retry = materialized(retrieve(W.rewrite_queries(weak, settings, broaden=True), chunks, settings, index), "retry")
+    return stronger_pass(weak, first, retry, settings)
+
+
+def stronger_pass(weak: DataFrame, first: DataFrame, retry: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The rows of the first pass, or of the retry for those weak queries where it is at least as strong; an empty pass has strength 0."""
     before = strength(first, settings).select("query_id", F.col("strength").alias("before"))
     after = strength(retry, settings).select("query_id", F.col("strength").alias("after"))
     verdict = (

@@ -6,7 +6,7 @@ the question frames below, so that every intent class occurs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import DEFAULTS
@@ -394,3 +394,37 @@ def retrieval_summary(spark, sf):
     return s.select(
         "strategy", "n_cases", *[F.round(c, 6).alias(c) for c in ("hit1", "hit5", "mrr5", "avg_rank", "rank_stdev", "drift_rate")]
     )
+
+
+def _pass_sql(kind: str) -> str:
+    return f"""SELECT user_id AS query_id, event_id AS chunk_id, rank, round(value / 50, 4) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events WHERE event_type = '{kind}') WHERE rank <= {DEFAULTS.retrieval_limit}"""
+
+
+def _strength_sql(source: str) -> str:
+    return f"SELECT query_id, arg_min(score, rank) AS top, round(arg_min(score, rank) + 0.05 * least(count(*), {DEFAULTS.retrieval_limit}), 9) AS strength FROM {source} GROUP BY query_id"
+
+
+@register(
+    "replan_choice",
+    f"""WITH q AS (SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN '作者 ' || c_name ELSE c_name END AS query FROM customer WHERE c_custkey < 300),
+    f AS ({_pass_sql('click')}), r AS ({_pass_sql('view')}), before AS ({_strength_sql('f')}), after AS ({_strength_sql('r')}),
+    weak AS (SELECT query_id FROM q LEFT JOIN before USING (query_id) WHERE top IS NULL OR top < CASE WHEN contains(query, '作者') THEN {V.LOOKUP_THRESHOLD} ELSE {V.GENERAL_THRESHOLD} END),
+    verdict AS (SELECT query_id, coalesce(a.strength, 0) >= coalesce(b.strength, 0) AS wins FROM weak LEFT JOIN before b USING (query_id) LEFT JOIN after a USING (query_id))
+    SELECT f.*, wins IS NOT NULL AS replanned, false AS from_retry FROM f LEFT JOIN verdict USING (query_id) WHERE NOT coalesce(wins, false)
+    UNION ALL SELECT r.*, true, true FROM r JOIN verdict USING (query_id) WHERE wins""",
+)
+def replan_choice(spark, sf):
+    """Weak first passes against their retries: clicks of a user are the first pass, views the second one."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("作者 "), "c_name")).otherwise(F.col("c_name"))
+    asked = table(spark, sf, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("query_id"), name.alias("query"))
+    order = Window.partitionBy("user_id").orderBy("event_id")
+
+    def evidence(kind):
+        rows = table(spark, sf, "events").where(F.col("event_type") == kind).withColumn("rank", F.row_number().over(order))
+        return rows.where(F.col("rank") <= DEFAULTS.retrieval_limit).select(
+            F.col("user_id").alias("query_id"), F.col("event_id").alias("chunk_id"), "rank", F.round(F.col("value") / 50, 4).alias("score")
+        )
+
+    first, retry = evidence("click"), evidence("view")
+    return V.stronger_pass(V.weak_queries(asked, first), first, retry)
