@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.config import Settings
+from inkwell.config import DEFAULTS, Settings
 from inkwell.functions import text as T
 from inkwell.operators import memory as M
 from inkwell.session import checkpoint_root, spread, table
@@ -165,25 +165,57 @@ def stream_index_feed(spark, sf):
     return store.read_chunks(spark, out).select("asset_id", "chunk_id", "chunk_level", "token_count", "content")
 
 
+_EDITED = """edited AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || chr(10) || 'Edited later.' ELSE text END AS text, lang, source, n_chars
+      FROM documents)"""
+
+
+@register(
+    "index_edits",
+    f"""WITH RECURSIVE {_EDITED}, {CS.CHUNKS.replace('FROM documents', 'FROM edited')}
+    SELECT doc_id::VARCHAR AS asset_id, chunk_id, chunk_level, size::INTEGER AS token_count, text AS content FROM chunks WHERE lang IS DISTINCT FROM 'es'""",
+)
+def index_edits(spark, sf):
+    """A stored index after edits, late versions that must not win, a replayed batch and the deletion of stored assets."""
+    docs, out = spread(table(spark, sf, "documents"), "doc_id"), scratch(spark, "edited-index")
+    edited, late = F.col("doc_id") % 5 == 0, F.col("doc_id") % 5 == 1
+
+    def changes(rows, content, version):
+        return rows.select(
+            F.lit("upsert").alias("op"), F.col("doc_id").cast("string").alias("asset_id"), F.concat(F.lit("document "), "doc_id").alias("title"),
+            F.col("source").alias("asset_type"), content.alias("content"), F.lit(version).alias("version"),
+        )
+
+    store.apply_asset_changes(changes(docs, F.col("text"), 2), out, batch="first")
+    second = changes(docs.where(edited), F.concat("text", F.lit("\n\nEdited later.")), 3).unionByName(changes(docs.where(late), F.lit("An older text."), 1))
+    for _ in range(2):  # the second time it is a replay
+        store.apply_asset_changes(second, out, batch="second")
+    store.delete_assets(docs.where("lang = 'es'").select(F.col("doc_id").cast("string").alias("asset_id")), out, batch="third")
+    return store.read_chunks(spark, out).select("asset_id", "chunk_id", "chunk_level", "token_count", "content")
+
+
 # --- ingest -----------------------------------------------------------------------------------
 
 
 def upload_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as uploaded files: Markdown with front matter, Markdown with a heading, text, GB18030 and rejects."""
-    kind = F.col("doc_id") % 6
-    text = F.col("text")
-    body = (
-        F.when(kind == 0, F.concat(F.lit("---\nlang: x\n---\n\n# Head\r\n\r\n\r\n\r\n"), text))
-        .when(kind == 4, F.lit("语义通信"))
-        .when(kind == 5, F.lit("  \n "))
-        .otherwise(text)
-    )
-    suffix = F.element_at(T.lits((".md", ".markdown", ".TXT", ".docx", ".txt", ".txt")), (kind + 1).cast("int"))
-    return spread(table(spark, sf, "documents"), "doc_id").select(
-        F.concat(F.lit("up/load/doc "), F.col("doc_id"), suffix).alias("path"),
-        F.length(F.encode(body, "UTF-8")).cast("bigint").alias("length"),
-        F.when(kind == 4, F.unhex(F.lit("D3EFD2E5CDA8D0C5"))).otherwise(F.encode(body, "UTF-8")).alias("content"),
+    """Every document as an uploaded file (Markdown with front matter, Markdown, text), and further files as special cases."""
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    kind, text = F.col("doc_id") % 3, F.col("text")
+    body = F.when(kind == 0, F.concat(F.lit("---\nlang: x\n---\n\n# Head\r\n\r\n\r\n\r\n"), text)).otherwise(text)
+    whole = docs.select(
+        F.concat(F.lit("up/load/doc "), "doc_id", F.element_at(T.lits((".md", ".markdown", ".TXT")), (kind + 1).cast("int"))).alias("path"),
+        F.encode(body, "UTF-8").alias("content"),
+    ).select("path", F.length("content").cast("bigint").alias("length"), "content")
+    more, hexed = F.col("doc_id") % 6, lambda x: F.unhex(F.lit(x))
+    suffixes = T.lits((".txt", ".txt", ".md", ".docx", ".txt", ".txt"))
+    # undecodable, empty, too large, another type, GB18030, blank
+    content = F.when(more == 0, hexed("FFFF")).when(more == 1, hexed("")).when(more == 4, hexed("D3EFD2E5CDA8D0C5")).when(more == 5, hexed("20200A20"))
+    special = docs.select(
+        F.concat(F.lit("up/load/more "), "doc_id", F.element_at(suffixes, (more + 1).cast("int"))).alias("path"),
+        more.alias("more"),
+        F.coalesce(content, F.encode(text, "UTF-8")).alias("content"),
     )
+    size = F.when(F.col("more") == 2, F.lit(DEFAULTS.upload_max_bytes + 1)).otherwise(F.length("content")).cast("bigint")
+    return whole.unionByName(special.select("path", size.alias("length"), "content"))
 
 
 def _norm(x: str) -> str:
@@ -191,15 +223,18 @@ def _norm(x: str) -> str:
     return S.strip(f"regexp_replace({unified}, '\n{{3,}}', '\n\n', 'g')")
 
 
+_SOURCE = "chr(10) || chr(10) || '来源文件：' || stem || {suffix} || chr(10) || chr(10) || "
+
+
 @register(
     "ingest_files",
-    f"""WITH d AS (SELECT doc_id, doc_id % 6 AS kind, 'doc ' || doc_id AS stem, {_norm('text')} AS body FROM documents)
+    f"""WITH d AS (SELECT doc_id % 3 AS kind, 'doc ' || doc_id AS stem, {_norm('text')} AS body FROM documents),
+    m AS (SELECT 'more ' || doc_id AS stem FROM documents WHERE doc_id % 6 = 4)
     SELECT stem AS title, CASE WHEN kind < 2 THEN 'markdown' ELSE 'note' END AS asset_type, md5(CASE
-      WHEN kind = 0 THEN '# Head' || chr(10) || chr(10) || '来源文件：' || stem || '.md' || chr(10) || chr(10) || body
-      WHEN kind = 1 THEN '# ' || stem || chr(10) || chr(10) || '来源文件：' || stem || '.markdown' || chr(10) || chr(10) || body
-      WHEN kind = 2 THEN '# ' || stem || chr(10) || chr(10) || '来源文件：' || stem || '.TXT' || chr(10) || chr(10) || body
-      ELSE '# ' || stem || chr(10) || chr(10) || '来源文件：' || stem || '.txt' || chr(10) || chr(10) || '语义通信' END) AS digest
-    FROM d WHERE kind IN (0, 1, 2, 4)""",
+      WHEN kind = 0 THEN '# Head' || {_SOURCE.format(suffix="'.md'")} body
+      WHEN kind = 1 THEN '# ' || stem || {_SOURCE.format(suffix="'.markdown'")} body
+      ELSE '# ' || stem || {_SOURCE.format(suffix="'.TXT'")} body END) AS digest FROM d WHERE body <> '' OR kind = 0
+    UNION ALL SELECT stem, 'note', md5('# ' || stem || {_SOURCE.format(suffix="'.txt'")} '语义通信') FROM m""",
 )
 def ingest_files(spark, sf):
     assets, _ = ingest.parse_files(upload_files(spark, sf))
@@ -208,8 +243,11 @@ def ingest_files(spark, sf):
 
 @register(
     "ingest_quarantine",
-    """SELECT 'up/load/doc ' || doc_id || CASE WHEN doc_id % 6 = 3 THEN '.docx' ELSE '.txt' END AS path,
-      CASE WHEN doc_id % 6 = 3 THEN 'unsupported_suffix' ELSE 'no_text' END AS reason FROM documents WHERE doc_id % 6 IN (3, 5)""",
+    f"""SELECT 'up/load/more ' || doc_id || CASE doc_id % 6 WHEN 2 THEN '.md' WHEN 3 THEN '.docx' ELSE '.txt' END AS path,
+      CASE doc_id % 6 WHEN 0 THEN 'unknown_encoding' WHEN 1 THEN 'empty_file' WHEN 2 THEN 'too_large' WHEN 3 THEN 'unsupported_suffix' ELSE 'no_text' END AS reason
+      FROM documents WHERE doc_id % 6 <> 4
+    UNION ALL SELECT 'up/load/doc ' || doc_id || CASE doc_id % 3 WHEN 1 THEN '.markdown' ELSE '.TXT' END, 'no_text'
+      FROM documents WHERE doc_id % 3 > 0 AND {_norm('text')} = ''""",
 )
 def ingest_quarantine(spark, sf):
     _, rejected = ingest.parse_files(upload_files(spark, sf))
