@@ -249,14 +249,16 @@ def tool_risk(spark, sf):
 
 
 def quality_inputs(spark: SparkSession, sf: str):
-    """Runs from assistant turns; trace, evidence and citations derived from the turn itself."""
+    """Runs from all assistant turns and, as further runs, empty, restrictive and short answers; the rest is derived from the turn."""
     turns = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     run_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     n = F.length("text")
-    base = turns.select(run_id.alias("run_id"), "conv_id", "turn", "text", n.alias("n"))
+    whole = turns.select(run_id.alias("run_id"), F.col("text").alias("answer"), n.alias("n"))
+    other = F.when(F.col("n") % 10 == 0, "").when(F.col("n") % 10 == 1, "当前知识库没有答案").otherwise("short one")
+    base = whole.unionByName(whole.where(F.col("n") % 10 <= 2).select(F.concat("run_id", F.lit("-x")).alias("run_id"), other.alias("answer"), "n"))
     runs = base.select(
         "run_id",
-        F.when(F.col("n") % 10 == 0, "").when(F.col("n") % 10 == 1, "当前知识库没有答案").when(F.col("n") % 10 == 2, "short one").otherwise(F.col("text")).alias("answer"),
+        "answer",
         F.when(F.col("n") % 4 != 0, "done").alias("solver_summary"),
         (F.col("n") % 3).cast("int").alias("replan_count"),
     )
@@ -283,9 +285,11 @@ _N = "length(text)"
 
 @register(
     "quality_score",
-    f"""WITH b AS (SELECT conv_id || '-' || turn AS run_id, text, length(text) AS n FROM conversations WHERE role = 'assistant'),
+    f"""WITH w AS (SELECT conv_id || '-' || turn AS run_id, text, length(text) AS n FROM conversations WHERE role = 'assistant'),
+    b AS (SELECT * FROM w UNION ALL
+      SELECT run_id || '-x', CASE n % 10 WHEN 0 THEN '' WHEN 1 THEN '当前知识库没有答案' ELSE 'short one' END, n FROM w WHERE n % 10 <= 2),
     f AS (
-      SELECT run_id, n, {S.strip("CASE WHEN n % 10 = 0 THEN '' WHEN n % 10 = 1 THEN '当前知识库没有答案' WHEN n % 10 = 2 THEN 'short one' ELSE text END")} AS answer,
+      SELECT run_id, n, {S.strip("text")} AS answer,
              n % 4 <> 0 AS summarised, CASE WHEN n % 6 <> 0 THEN n % 5 + 1 ELSE 0 END AS steps,
              n % 6 <> 0 AND n % 7 = 0 AS failed, n % 6 <> 0 AND n % 5 = 4 AS fell_back,
              n % 4 AS ev, (n % 50) / 100.0::DOUBLE AS top, n % 3 AS ci FROM b),

@@ -177,15 +177,15 @@ def plan_rows(spark, sf):
     "validation",
     """SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT length(title) BETWEEN 1 AND 120 THEN 'title_length' END,
       CASE WHEN length(content) < 1 THEN 'content_empty' END], lambda x: x IS NOT NULL), ',') AS violations
-    FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE substring(text, 1, 100 + doc_id % 40) END AS title,
-      CASE WHEN doc_id % 15 = 0 THEN '' ELSE text END AS content FROM documents)""",
+    FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS content FROM documents
+      UNION ALL SELECT doc_id + 10000000, '', text FROM documents WHERE doc_id % 10 = 0
+      UNION ALL SELECT doc_id + 20000000, split_part(text, chr(10), 1), '' FROM documents WHERE doc_id % 15 = 0)""",
 )
 def validation(spark, sf):
-    rows = table(spark, sf, "documents").select(
-        "doc_id",
-        F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text").substr(F.lit(1), (F.lit(100) + F.col("doc_id") % 40).cast("int"))).alias("title"),
-        F.when(F.col("doc_id") % 15 == 0, "").otherwise(F.col("text")).alias("content"),
-    )
+    """First lines as titles and whole texts; empty titles and contents are further rows."""
+    docs = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
+    rows = docs.unionByName(docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.lit("").alias("title"), "content"))
+    rows = rows.unionByName(docs.where("doc_id % 15 = 0").select((F.col("doc_id") + 20_000_000).alias("doc_id"), "title", F.lit("").alias("content")))
     return WS.validate(rows, WS.asset_rules()).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
