@@ -8,13 +8,17 @@ queries  ``query_id, query`` (+ ``scope_id`` when scopes are used).
 
 Physical design
 ---------------
-An index stores the token sets of the chunks, totals and inverse frequencies;
-texts are tokenised when it is written and never by a search. A search hashes
-the token sets once on ``bucket`` (a hash of the chunk id). Exploding
-tokens, joining them with the query terms, adding up scores and a first top-k
-per ``(bucket, query)`` all run inside that one partitioning, so matched
-(query, chunk) pairs never cross the network; only ``k`` rows per bucket and
-query do. A token held by a third of all chunks costs no more than its share
+An index stores the token sets of the chunks, totals, inverse frequencies and
+impact-ordered posting lists (``operators/postings.py``); texts are tokenised
+when it is written and never by a search. A search reads the lists of its
+tokens only, and of these only what can still reach a top-k; ``k`` rows per
+part and query cross the network.
+
+``pair_scores`` scores every pair that shares a token instead, for callers
+that need all of them. It hashes the token sets once on ``bucket`` (a hash of
+the chunk id). Exploding tokens, joining them with the query terms and adding
+up scores run inside that one partitioning, so matched pairs are not
+shuffled. A token held by a third of all chunks costs no more than its share
 of each bucket. Query terms are broadcast only after a count shows that they
 are few; larger query sets use a shuffled token join with salted hot tokens.
 """
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from inkwell.config import DEFAULTS, Settings
 from inkwell.functions import text as T
+from inkwell.operators import postings as P
 from inkwell.session import checkpoint_root, shuffle_partitions, within_rows
 
 # Okapi BM25 and rank-fusion constants.
@@ -137,15 +142,20 @@ def inverse_frequencies(corpus: DataFrame, totals: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Stored token sets, totals per scope and inverse frequencies; searches read these and no text."""
+    """Stored token sets, totals per scope, inverse frequencies and posting lists; searches read these and no text."""
 
     corpus: DataFrame
     totals: DataFrame
     idf: DataFrame
+    members: DataFrame
+    postings: DataFrame
+
+
+INDEX_TABLES = ("corpus", "totals", "idf", "members", "postings")
 
 
 def write_index(chunks: DataFrame, path: str, scopes: DataFrame | None = None) -> SearchIndex:
-    """Tokenises the chunks once and stores tokens and statistics below ``path``."""
+    """Tokenises the chunks once and stores tokens, statistics and posting lists below ``path``."""
 
     def stored(rows: DataFrame, part: str) -> DataFrame:
         rows.write.mode("errorifexists").parquet(f"{path}/{part}")
@@ -153,11 +163,14 @@ def write_index(chunks: DataFrame, path: str, scopes: DataFrame | None = None) -
 
     corpus = stored(tokenized(chunks, scopes), "corpus")
     totals = stored(corpus_totals(corpus), "totals")
-    return SearchIndex(corpus, totals, stored(inverse_frequencies(corpus, totals), "idf"))
+    idf = stored(inverse_frequencies(corpus, totals), "idf")
+    partitions = shuffle_partitions(corpus.sparkSession)
+    numbered = stored(P.numbered_chunks(corpus, _length_factor(F.col("avg_len")), totals, partitions), "numbered")
+    return SearchIndex(corpus, totals, idf, stored(P.member_rows(numbered), "members"), stored(P.posting_rows(numbered), "postings"))
 
 
 def read_index(spark: SparkSession, path: str) -> SearchIndex:
-    return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("corpus", "totals", "idf")])
+    return SearchIndex(*[spark.read.parquet(f"{path}/{part}") for part in INDEX_TABLES])
 
 
 def temporary_index(chunks: DataFrame, scopes: DataFrame | None = None) -> SearchIndex:
@@ -226,6 +239,25 @@ def pair_scores(
     ).select("bucket", "query_id", "chunk_id", "pos", "overlap", "bm25")
 
 
+def best_pairs(
+    queries: DataFrame, chunks: DataFrame | None, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS,
+    index: SearchIndex | None = None, overlap: bool = True, bm25: bool = True,
+) -> DataFrame:
+    """``query_id, chunk_id, pos, overlap, bm25`` of every pair that can be among a query's ``k`` best by either score.
+
+    Exact: the ranked lists equal those of ``pair_scores``. A score is 0 where the pair is no candidate by it.
+    """
+    index = temporary_index(chunks, scopes) if index is None else index
+    terms = query_terms(queries)
+    weighted = _weighted_terms(index, terms, within_rows(terms, settings.broadcast_max_rows)).drop("df")
+    partitions = shuffle_partitions(queries.sparkSession)
+    won = P.part_winners(index.members, index.postings, weighted, k, partitions, settings.broadcast_max_rows, overlap, bm25)
+    return won.select(
+        "query_id", "chunk_id", "pos", F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
+        F.round(F.coalesce("bm25", F.lit(0.0)), SCORE_DIGITS).alias("bm25"),
+    )
+
+
 def _rank(partition: list[str], score: str) -> Column:
     return F.row_number().over(
         Window.partitionBy(*partition).orderBy(F.col(score).desc(), F.col("pos"), F.col("chunk_id"))
@@ -233,21 +265,22 @@ def _rank(partition: list[str], score: str) -> Column:
 
 
 def top_candidates(pairs: DataFrame, k: int, score: str, local: list[str] = ("bucket",)) -> DataFrame:
-    """Top ``k`` positive scores per query: first within each bucket, then overall."""
+    """Top ``k`` positive scores per query: first within each group of ``local``, then overall."""
     hits = pairs.where(F.col(score) > 0)
-    first = hits.withColumn("rank", _rank([*local, "query_id"], score)).where(F.col("rank") <= k)
+    first = hits.withColumn("rank", _rank([*local, "query_id"], score)).where(F.col("rank") <= k) if local else hits
     return first.withColumn("rank", _rank(["query_id"], score)).where(F.col("rank") <= k)
 
 
 def ranked_lists(pairs: DataFrame, k: int) -> DataFrame:
-    """Both ranked lists in one pass: overlap side and BM25 side, ``k`` each."""
-    local = (
-        pairs.withColumn("dense_rank", _rank(["bucket", "query_id"], "overlap"))
-        .withColumn("sparse_rank", _rank(["bucket", "query_id"], "bm25"))
-        .where((F.col("dense_rank") <= k) | (F.col("sparse_rank") <= k))
-    )
+    """Both ranked lists in one pass: overlap side and BM25 side, ``k`` each; first within each bucket, if pairs have one."""
+    if "bucket" in pairs.columns:
+        pairs = (
+            pairs.withColumn("dense_rank", _rank(["bucket", "query_id"], "overlap"))
+            .withColumn("sparse_rank", _rank(["bucket", "query_id"], "bm25"))
+            .where((F.col("dense_rank") <= k) | (F.col("sparse_rank") <= k))
+        )
     return (
-        local.withColumn("dense_rank", _rank(["query_id"], "overlap"))
+        pairs.withColumn("dense_rank", _rank(["query_id"], "overlap"))
         .withColumn("sparse_rank", _rank(["query_id"], "bm25"))
         .where((F.col("dense_rank") <= k) | (F.col("sparse_rank") <= k))
         .withColumn("dense_rank", F.when((F.col("overlap") > 0) & (F.col("dense_rank") <= k), F.col("dense_rank")))
@@ -328,8 +361,8 @@ def lexical_search(
     queries: DataFrame, chunks: DataFrame | None, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS,
     index: SearchIndex | None = None,
 ) -> DataFrame:
-    pairs = pair_scores(queries, chunks, scopes, settings, index)
-    return top_candidates(pairs, k, "overlap").select(
+    pairs = best_pairs(queries, chunks, k, scopes, settings, index, bm25=False)
+    return top_candidates(pairs, k, "overlap", local=[]).select(
         "query_id", "chunk_id", "pos", "rank", F.col("overlap").alias("score")
     )
 
@@ -338,8 +371,8 @@ def bm25_search(
     queries: DataFrame, chunks: DataFrame | None, k: int, scopes: DataFrame | None = None, settings: Settings = DEFAULTS,
     index: SearchIndex | None = None,
 ) -> DataFrame:
-    pairs = pair_scores(queries, chunks, scopes, settings, index)
-    return top_candidates(pairs, k, "bm25").select(
+    pairs = best_pairs(queries, chunks, k, scopes, settings, index, overlap=False)
+    return top_candidates(pairs, k, "bm25", local=[]).select(
         "query_id", "chunk_id", "pos", "rank", F.col("bm25").alias("score")
     )
 
@@ -355,5 +388,5 @@ def hybrid_search(
     """Overlap and BM25 candidates, fused and reranked; ``limit`` hits per query."""
     limit = settings.retrieval_limit if limit is None else limit
     k = settings.candidates_for(limit)
-    lists = ranked_lists(pair_scores(queries, chunks, scopes, settings, index), k)
+    lists = ranked_lists(best_pairs(queries, chunks, k, scopes, settings, index), k)
     return rerank_by_sum(fuse(lists, k), limit)

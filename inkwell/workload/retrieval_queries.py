@@ -91,7 +91,7 @@ HYBRID = f"""{SEARCH},
     f"""WITH {HYBRID} SELECT query_id, chunk_id, fusion_rank, round(fusion_score, 6) AS fusion_score FROM fused""",
 )
 def rrf_fusion(spark, sf):
-    pairs = R.pair_scores(benchmark_queries(spark, sf), document_chunks(spark, sf))
+    pairs = R.best_pairs(benchmark_queries(spark, sf), document_chunks(spark, sf), K)
     fused = R.fuse(R.ranked_lists(pairs, K), K)
     return fused.select(
         "query_id",

@@ -354,7 +354,7 @@ def _metric_rows(spark, sf):
 
     docs, asked = document_chunks(spark, sf), benchmark_queries(spark, sf)
     k = DEFAULTS.candidate_limit
-    lists = materialized(RT.ranked_lists(RT.pair_scores(asked, docs), k), "lists")
+    lists = materialized(RT.ranked_lists(RT.best_pairs(asked, docs, k), k), "lists")
     hybrid = RT.rerank_by_sum(RT.fuse(lists, k), 5).select(F.lit("hybrid").alias("strategy"), "query_id", "chunk_id", "rank")
     both = lists.select(F.lit("overlap").alias("strategy"), "query_id", "chunk_id", F.col("dense_rank").alias("rank")).unionByName(
         lists.select(F.lit("bm25").alias("strategy"), "query_id", "chunk_id", F.col("sparse_rank").alias("rank"))
