@@ -111,12 +111,21 @@ RULES = [
 
 # A point, colon or semicolon ends a sentence before white space; so do an empty line and the end of a one-line notice.
 BREAK = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\n\s*\n")
+# A point in a holder's name ("neither the name of Google Inc. nor ...") ends none, if the name has less than 200 characters.
+OPEN_NAME = re.compile(r"\bneither\s+the\s+names?\s+of\b(?!.*\bnor\s+the\s+names?\b)", re.I | re.S)
 EDGE = re.compile(r"[^a-z0-9]+")
 NUMBERING = re.compile(r"^(?:\(?(?:[0-9]{1,2}|[a-z])[.)]|[*#/;-]+)\s+")
 
 
+#: The slot for the holder's name in an endorsement sentence.
+HOLDER = re.compile(r"\bneither the names? of .{1,200}? nor the names of (?:its|any)(?: other)? contributors\b")
+HOLDER_FILLED = "neither the name of the copyright holder nor the names of its contributors"
+
+
 def normal(sentence: str) -> str:
-    return EDGE.sub(" ", NUMBERING.sub("", sentence.strip().lower())).strip()
+    """Lower case words without numbering and punctuation; a holder's name becomes the words that fill its slot."""
+    words = EDGE.sub(" ", NUMBERING.sub("", sentence.strip().lower())).strip()
+    return HOLDER.sub(HOLDER_FILLED, words) if "neither the name" in words else words
 
 
 def _parts(sentence: str) -> list[str]:
@@ -142,6 +151,8 @@ def _segments(text: str) -> Iterator[tuple[str, int, int]]:
     at = 0
     for m in [*BREAK.finditer(text), None]:
         end = len(text) if m is None else m.start()
+        if m is not None and m[0].count("\n") < 2 and OPEN_NAME.search(text, max(at, end - 200), end):
+            continue
         if normal(text[at:end]):
             yield normal(text[at:end]), at, end
         at = end if m is None else m.end()
@@ -152,6 +163,7 @@ def sentence_ids(text: str | None) -> list[tuple[str | None, int, int]]:
     if not text or not STARTS.search(text):
         return []
     segments: list[tuple[str, int, int]] = []
+    wrapped = 0
     for sentence, start, end in _segments(text):
         lines = text[start:end].split("\n")
         if len(lines) > 1 and sentence not in FIRST:
@@ -160,9 +172,10 @@ def sentence_ids(text: str | None) -> list[tuple[str | None, int, int]]:
                 if normal(line):
                     segments.append((normal(line), at, at + len(line)))
                 at += len(line) + 1
-            segments = _rejoined(segments, text)
+            wrapped = len(segments)
         else:
             segments.append((sentence, start, end))
+    segments = _rejoined(segments[:wrapped]) + segments[wrapped:]
     out, i = [], 0
     while i < len(segments):
         for pieces in FIRST.get(segments[i][0], ()):
@@ -180,7 +193,7 @@ _BEGINNINGS = {" ".join(p[0].split()[:3]) for p in KNOWN}
 _LONGEST = max(len(p) for pieces in KNOWN for p in pieces)
 
 
-def _rejoined(segments: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+def _rejoined(segments: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Joins lines again that together form a known sentence; wrapped licence texts keep their line breaks."""
     out, i = [], 0
     while i < len(segments):
