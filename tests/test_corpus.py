@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,34 @@ def test_returns_over_pieces_and_partitions(spark, size):
             assert math.isclose(g["discounted_return"], total) and math.isclose(g["shaped_reward"], (reward or 0) + 0.9 * potential - (value or 0), abs_tol=1e-12)
             after, potential = state, value or 0
     assert trajectories.transitions(df.limit(0), ["at"], 0.9).count() == 0
+
+
+def test_a_class_enters_about_as_many_tables_as_rows_grow():
+    tables = [similarity.table_plan(0.9, n)[1] for n in (10_000, 100_000, 1_000_000)]
+    assert max(tables) <= 1.1 * min(tables) <= 40
+    assert similarity.table_plan(0.9, 10**8)[1] <= 2 * tables[0]
+
+
+def test_meeting_chance_is_a_lower_bound():
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((2, 4000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    directions, tables = similarity.table_plan(0.9, 4000)
+    axes = rng.standard_normal((12, directions * 20))
+    met = np.mean(similarity._keys((x @ axes).reshape(4000, 20, -1)) == similarity._keys((y @ axes).reshape(4000, 20, -1)))
+    assert similarity.meeting_chance(0.9, directions) < met + 0.02 and met > 0.25
+    assert (1 - similarity.meeting_chance(0.9, directions)) ** tables <= 1e-6
+
+
+def test_links_across_tiles(monkeypatch):
+    rng = np.random.default_rng(9)
+    dense = rng.normal(size=8)
+    packed = [(dense + rng.normal(size=8) * 0.01).astype("<f4").tobytes() for _ in range(50)]
+    group = pd.DataFrame({"class_id": range(50), "packed": packed, "keys": [np.array([i % 2, 3], "<u2").tobytes() for i in range(50)]})
+    group = group.assign(place=1, block=0, first=0, second=0).sample(frac=1, random_state=1)
+    monkeypatch.setattr(similarity, "TILE", 7)
+    got = similarity._linked(group, 0.9, "<f4")
+    # pairs of equal parity met in the first table
+    assert set(got["links"]) == {25} and set(got["least"]) == {0} and sorted(got["class_id"]) == list(range(50))
