@@ -65,14 +65,34 @@ def clip(col: Column, limit: int) -> Column:
     return F.substring(col, 1, limit)
 
 
+def bound(col: Column, use) -> Column:
+    """``use(col)``, with ``col`` evaluated once however often ``use`` names it."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
+def _clipped(col: Column, limit: int, form) -> Column:
+    """``clip(form(col), limit)`` for a ``form`` whose value for a beginning of the text begins its value for the whole text.
+
+    Where the first ``2 * limit`` characters fill the limit, the rest cannot matter; every other text is formed whole. Lower
+    case depends on later characters for the sigma only, so beginnings that hold one decide nothing.
+    """
+
+    def one(text: Column) -> Column:
+        start = F.substring(text, 1, 2 * limit)
+        decides = lambda cut: (F.length(start) < 2 * limit) | ((F.length(cut) >= limit) & ~F.contains(start, F.lit("\u03a3")))
+        return bound(clip(form(start), limit), lambda cut: F.when(decides(cut), cut).otherwise(clip(form(text), limit)))
+
+    return bound(col, one)
+
+
 def compact(col: Column, limit: int = 240) -> Column:
     """Collapse, trim, cut (memory flavour: may be empty)."""
-    return clip(collapse_spaces(col), limit)
+    return _clipped(col, limit, collapse_spaces)
 
 
 def compact_named(col: Column, limit: int = 80) -> Column:
     """Collapse, cut, trim, with a default title for empty text (service flavour)."""
-    cut = strip(clip(collapse_spaces(col), limit))
+    cut = strip(compact(col, limit))
     return F.when(cut == "", F.lit(UNNAMED)).otherwise(cut)
 
 
@@ -120,16 +140,16 @@ def token_count(col: Column) -> Column:
 
 def slug(col: Column, limit: int = 72, default: str = "chunk") -> Column:
     """Anchor slug: runs of non-word characters become ``-``."""
-    dashed = F.regexp_replace(F.lower(strip(col)), r"[^\p{L}\p{N}_]+", "-")
-    cut = clip(F.btrim(dashed, F.lit("-")), limit)
+    dashed = lambda text: F.btrim(F.regexp_replace(F.lower(strip(text)), r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))
+    cut = _clipped(col, limit, dashed)
     return F.when(cut == "", F.lit(default)).otherwise(cut)
 
 
 def key_slug(col: Column, limit: int = 48, default: str = "item") -> Column:
     """Memory-key slug: only ASCII letters, digits and CJK survive."""
-    scored = F.regexp_replace(F.lower(strip(col)), "[^a-zA-Z0-9\u4e00-\u9fff]+", "_")
-    cut = F.btrim(scored, F.lit("_"))
-    return clip(F.when(cut == "", F.lit(default)).otherwise(cut), limit)
+    scored = lambda text: F.btrim(F.regexp_replace(F.lower(strip(text)), "[^a-zA-Z0-9\u4e00-\u9fff]+", "_"), F.lit("_"))
+    cut = _clipped(col, limit, scored)
+    return F.when(cut == "", F.lit(default[:limit])).otherwise(cut)
 
 
 def base_name(path: Column) -> Column:

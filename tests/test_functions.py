@@ -1,3 +1,5 @@
+import random
+import time
 import uuid
 
 import numpy as np
@@ -144,3 +146,32 @@ def test_layouts(spark):
     assert {(r.step, r.label) for r in again.collect()} == {(1, "C1"), (2, "C2")}
     reply = D.truthy(F.lit("Off"))
     assert spark.range(1).select(reply).first()[0] is False
+
+
+def test_cut_forms_equal_the_forms_of_the_whole_text(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("aB9. -_\n語éΣσΆ'\u0301İ😀", k=rng.randrange(200))) for _ in range(2000)] + [" " * 500 + "late", "-" * 900 + "x y", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    text, limit = F.col("t"), 9
+    dashed = F.btrim(F.regexp_replace(F.lower(T.strip(text)), r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))
+    scored = F.btrim(F.regexp_replace(F.lower(T.strip(text)), "[^a-zA-Z0-9\u4e00-\u9fff]+", "_"), F.lit("_"))
+    named = T.strip(T.clip(T.collapse_spaces(text), limit))
+    whole = {
+        "slug": F.when(T.clip(dashed, limit) == "", F.lit("chunk")).otherwise(T.clip(dashed, limit)),
+        "key_slug": T.clip(F.when(scored == "", F.lit("item")).otherwise(scored), limit),
+        "compact": T.clip(T.collapse_spaces(text), limit),
+        "compact_named": F.when(named == "", F.lit(T.UNNAMED)).otherwise(named),
+    }
+    for name, form in whole.items():
+        assert df.where(~getattr(T, name)(text, limit).eqNullSafe(form)).collect() == [], name
+
+
+def test_a_cut_form_leaves_most_of_a_long_text_alone(spark):
+    long = spark.range(1).select(F.repeat(F.concat_ws(" ", F.lit("Some words"), F.col("id")), 400_000).alias("t")).cache()
+    long.count()
+    took = []
+    for form in (T.slug(F.col("t")), F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}_]+", "-")):
+        start = time.perf_counter()
+        assert long.select(F.length(form).alias("n")).first()[0] >= 72
+        took.append(time.perf_counter() - start)
+    assert took[0] < took[1]
