@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import html
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from inkwell.config import DEFAULTS, Settings
 from inkwell.functions import text as T
@@ -119,15 +123,25 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def clean_html(col: Column) -> Column:
-    """Entities decoded, white space collapsed. Text without ``&`` never leaves the JVM."""
+#: What ``html.unescape`` looks up, one reference at a time.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-    @F.pandas_udf("string")
-    def unescape(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
 
-    needs = F.contains(col, F.lit("&"))
-    return T.collapse_spaces(F.coalesce(unescape(F.when(needs, col)), col))
+@F.arrow_udf(ArrayType(StringType()))
+def _decoded(references: pa.Array) -> pa.Array:
+    """Lists of references decoded; a distinct one of the batch once, the others stay Arrow strings."""
+    coded = references.flatten().dictionary_encode()
+    known = pa.array([html.unescape(x) for x in coded.dictionary.to_pylist()], pa.string())
+    ends = pa.array(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(references), 0).to_numpy())), pa.int32())
+    return pa.ListArray.from_arrays(ends, known.take(coded.indices))
+
+
+def clean_html(col: Column) -> Column:
+    """Entities decoded, white space collapsed. Only the references leave the JVM, and only from text that has some."""
+    found = _decoded(F.when(F.contains(col, F.lit("&")), F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0))).otherwise(T.no_strings()))
+    between = F.split(col, REFERENCE, -1)
+    whole = F.array_join(F.zip_with(between, found, lambda text, mark: F.concat(text, F.coalesce(mark, F.lit("")))), "")
+    return T.collapse_spaces(F.when(F.contains(col, F.lit("&")), whole).otherwise(col))
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,10 +1,14 @@
+import html
 import random
+import re
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.config import Settings
+from inkwell.functions import text as T
 from inkwell.operators import memory as M
 from inkwell.operators.segments import running_before
 from inkwell.plans import jobs
@@ -208,6 +212,18 @@ def test_clean_html(spark):
     assert [r[0] for r in df.select(ingest.clean_html(F.col("t"))).collect()] == ["a & b <c>", "plain text", None]
 
 
+def test_clean_html_equals_unescape_and_ships_only_references(spark):
+    rng = random.Random(5)
+    pieces = ["&amp;", "&amp", "&lt", "&notit;", "&nosuch;", "&#65;", "&#x41", "&#0;", "&#xD800;", "&#9999999;", "&", ";", "#", "&&gt;", "a", "é", "😀", " ", "\n", "&NewLine;", "&fjlig;"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(1500)] + [None, "", "&" * 40, "&" + "x" * 50 + ";"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r[0]: r[1] for r in df.select("i", ingest.clean_html(F.col("t"))).collect()}
+    space = re.compile(f"{T.WS_CLASS}+")
+    assert got == {i: t if t is None else space.sub(" ", html.unescape(t)).strip(" ") for i, t in enumerate(texts)}
+    seen = ingest._decoded.func(pa.array([["&amp;"], None, [], ["&lt", "&amp;"]]))
+    assert seen.to_pylist() == [["&"], [], [], ["<", "&"]]
+
+
 def test_memory_context_blocks(spark):
     now = datetime(2024, 6, 1)
     runs = spark.createDataFrame(
