@@ -70,29 +70,46 @@ class Space:
 
 
 class _Known(dict):
-    """word -> numbers of its dimensions, kept for the words seen so far."""
+    """word -> number of its own dimension, -1 without any dimension, -2 - n if it also has label dimensions: ``several[n]`` lists all.
+
+    Words without a dimension are not kept; most words of a large corpus are such, and would displace the others.
+    """
 
     def __init__(self, space: Space):
         super().__init__()
         self.space = space
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        own = self.space.words.get(word)
-        marks = tuple(self.space.marks[f] for f in features_of_word(word) if f in self.space.marks)
-        self[word] = found = marks if own is None else (own, *marks)
+        self.begins = [(n, {f[:-1]: i for f, i in space.marks.items() if f.endswith("*") and len(f) == n + 1}) for n in PREFIXES]
+        self.several: list[tuple[int, ...]] = []
+
+    def __missing__(self, word: str) -> int:
+        own, mark = self.space.words.get(word), self.space.marks.get(word)
+        marks = [m for m in (mark, *[numbers.get(word[:n]) for n, numbers in self.begins if len(word) > n]) if m is not None]
+        if not marks and own is None:
+            return -1
+        if not marks:
+            found = own
+        else:
+            found = -2 - len(self.several)
+            self.several.append(tuple(marks) if own is None else (own, *marks))
+        self[word] = found
         return found
 
 
 def vector(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector over the space: numbers of the dimensions in rising order, and weights; empty without features."""
-    tf: dict[int, int] = {}
-    for word, n in word_counts(text).items():
-        for f in known[word]:
-            tf[f] = tf.get(f, 0) + n
-    ids = np.fromiter(tf.keys(), np.int64, len(tf))
-    raw = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * known.space.idf[ids]
+    counts = word_counts(text)
+    if len(known) >= CACHE:  # emptied between texts: a text's codes must stay valid while it is read
+        known.clear()
+        known.several.clear()
+    codes = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+    tf = np.fromiter(counts.values(), np.int64, len(counts))
+    single = codes >= 0
+    more: dict[int, int] = {}
+    for code, n in zip(codes[codes < -1].tolist(), tf[codes < -1].tolist(), strict=True):
+        for f in known.several[-2 - code]:
+            more[f] = more.get(f, 0) + n
+    ids = np.concatenate([codes[single], np.fromiter(more.keys(), np.int64, len(more))])
+    raw = (1 + np.log(np.concatenate([tf[single], np.fromiter(more.values(), np.int64, len(more))]).astype(float))) * known.space.idf[ids]
     order = np.argsort(ids)
     ids, raw = ids[order], raw[order]
     cut = np.searchsorted(ids, len(known.space.words))
@@ -117,10 +134,11 @@ class BlockMaxIndex:
         often = np.flatnonzero(held > max(1, common * self.n))
         self.row = np.full(features, -1, np.int64)  # row of a common feature in ``dense``
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.blocks * BLOCK))
+        # A block's weights stand together: completing a block reads whole rows of it.
+        self.dense = np.zeros((self.blocks, len(often), BLOCK))
         wide = self.row[every] >= 0
-        self.dense[self.row[every[wide]], places[wide]] = weights[wide]
-        self.bounds = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2)
+        self.dense[places[wide] // BLOCK, self.row[every[wide]], places[wide] % BLOCK] = weights[wide]
+        self.bounds = self.dense.max(axis=2).T.copy()
         by = np.argsort(every[~wide], kind="stable")
         self.places, self.weights = places[~wide][by], weights[~wide][by]
         self.starts = np.searchsorted(every[~wide][by], np.arange(features + 1))
@@ -138,14 +156,14 @@ class BlockMaxIndex:
         upper = score.reshape(self.blocks, BLOCK).max(axis=1) + heavy @ self.bounds[rows] + 1e-12
         falling = np.argsort(-upper, kind="stable")
         places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for first in range(0, self.blocks, 4):
-            some = falling[first : first + 4]
+        for first in range(0, self.blocks, 8):
+            some = falling[first : first + 8]
             some = some[upper[some] >= (worst if len(cosines) == k else 2e-12)]
             if not len(some):
                 break
             here = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            exact = score[here] + heavy @ self.dense[rows[:, None], here]
-            hit = exact > 0
+            exact = score[here] + (heavy @ self.dense[some[:, None], rows]).ravel()
+            hit = exact >= worst if worst else exact > 0
             places, cosines = np.concatenate([places, here[hit]]), np.concatenate([cosines, exact[hit]])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]

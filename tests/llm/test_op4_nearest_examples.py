@@ -77,6 +77,21 @@ def test_cosines_and_scores_equal_brute_force(spark, tables):
         assert got[d] == pytest.approx(1 / (1 + math.exp(-(model.slope * odds + model.shift))), abs=1e-6)
 
 
+def test_words_without_dimension_do_not_displace_the_others(monkeypatch):
+    words = {w: i for i, w in enumerate(("alpha", "markers", "zeta"))}
+    space = op.Space(words, {"mark*": 3, "marke*": 4, "markers": 5}, np.array([1.0, 2, 3, 4, 5, 6]))
+    known = op._Known(space)
+    text = "alpha zeta markers mark marker " + " ".join(f"rare{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20))
+    once = op.vector(text, known)
+    assert set(known) == {"alpha", "zeta", "markers", "marker"}
+    monkeypatch.setattr(op, "CACHE", 2)  # emptied before every text: the numbers of a text stay valid
+    for t in (text, "markers alpha", "marker zeta zeta", text, None, ""):
+        ids, weights = op.vector(t, known)
+        want = brute_vector(t, space)
+        assert ids.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)])
+    assert np.array_equal(once[1], op.vector(text, known)[1])
+
+
 def test_block_maxima_skip_no_neighbour():
     rng = np.random.default_rng(5)
     for common in (0.0, 0.1, 1.0):
