@@ -26,6 +26,9 @@ CJK_RUN = "[\u4e00-\u9fff]+"
 LATIN_TOKEN = "[a-zA-Z0-9_./-]+"
 # A Latin run is one token; so is any other visible character, CJK included.
 ROUGH_TOKEN = f"{LATIN_TOKEN}|{NOT_WS_CLASS}"
+# The same tokens for the scans of whole corpora: the ASCII word class is one test, a list of ranges one test per range.
+LATIN_RUN = r"[\w./-]+"
+COUNTED_TOKEN = rf"(?:{LATIN_RUN}|[!-~]|{NOT_WS_CLASS}) *"
 EMPTY_TOKEN = "__empty__"
 UNNAMED = "未命名"
 URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
@@ -109,7 +112,7 @@ def tokenize(col: Column) -> Column:
     return F.array_distinct(
         F.concat(
             F.regexp_extract_all(col, F.lit(CJK_RUN), F.lit(0)),
-            F.regexp_extract_all(F.lower(col), F.lit(LATIN_TOKEN), F.lit(0)),
+            F.regexp_extract_all(F.lower(col), F.lit(LATIN_RUN), F.lit(0)),
         )
     )
 
@@ -132,7 +135,7 @@ def rough_tokens(col: Column) -> Column:
 
 
 def token_count(col: Column) -> Column:
-    return F.regexp_count(col, F.lit(ROUGH_TOKEN))
+    return F.regexp_count(col, F.lit(COUNTED_TOKEN))
 
 
 # --- slugs, names, ids --------------------------------------------------------

@@ -26,11 +26,12 @@ PAGE_MARKER = f"^<!--{T.WS_CLASS}*page:([0-9]+){T.WS_CLASS}*-->$"
 PATH_SEPARATOR = " / "
 MARKER_START = "<!--"
 # Line breaks other than \n; they are turned into \n first, which frees \x1d as an inner mark.
-EXOTIC_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+EXOTIC_BREAKS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 MARK = "\x1d"
 ENDERS = "。！？!?；;"
 # A sentence runs to a group of enders, to a blank after ``. ! ?``, to a mark or to the end.
-SENTENCE = f"[^{MARK}]+?(?:[{ENDERS}]+|(?<=[.!?]){T.WS_CLASS}+|(?={MARK})|" + r"\z)"
+# No end stands before an ASCII word character; this one test spares most places the four others.
+SENTENCE = rf"[^{MARK}]+?(?!\w)" + f"(?:[{ENDERS}]+|(?<=[.!?]){T.WS_CLASS}+|(?={MARK})|" + r"\z)"
 
 
 # --- sections -------------------------------------------------------------------
@@ -98,7 +99,7 @@ def with_sections(docs: DataFrame, content: str = "content") -> DataFrame:
         return F.struct(i.alias("at"), _page_of(T.strip(x)).try_cast("int").alias("page"))
 
     # Most documents have neither headings nor page marks; two substring tests spare them the line scan.
-    text = F.translate(T.normalize_newlines(F.col(content)), EXOTIC_BREAKS, "\n" * len(EXOTIC_BREAKS))
+    text = F.regexp_replace(T.normalize_newlines(F.col(content)), EXOTIC_BREAKS, "\n")
     flagged = docs.select(*keep, text.alias("_text")).withColumn(
         "_lines",
         F.when(
@@ -185,7 +186,7 @@ def _sized(pieces: Column, page: Column) -> Column:
 def _plain_spans(body: Column) -> Column:
     """Empty lines become marks, other line ends blanks; one pattern then cuts all sentences."""
     lines = F.array_join(F.transform(F.split(body, "\n"), T.strip), "\n")
-    flat = F.translate(F.regexp_replace(lines, "\n\n+", MARK), "\n", " ")
+    flat = F.replace(F.regexp_replace(lines, "\n\n+", MARK), F.lit("\n"), F.lit(" "))
     return _sized(_stripped_pieces(flat), F.lit(0))
 
 
@@ -215,22 +216,26 @@ def _paged_spans(body: Column) -> Column:
 
 def sentence_spans(body: Column) -> Column:
     """Array of ``text, page, size``. Empty lines and page marks end a paragraph, lines join with a blank."""
-    text = F.translate(T.normalize_newlines(body), EXOTIC_BREAKS, "\n" * len(EXOTIC_BREAKS))
+    text = F.regexp_replace(T.normalize_newlines(body), EXOTIC_BREAKS, "\n")
     return F.when(F.contains(body, F.lit(MARKER_START)), _paged_spans(text)).otherwise(_plain_spans(text))
 
 
 def hard_split(span: Column, budget: int) -> Column:
     """A sized span over the budget is cut every ``budget`` tokens; tokens join with blanks."""
     budget = max(budget, MIN_BUDGET)
-    tokens = T.rough_tokens(span["text"])
-    parts = F.transform(
-        F.sequence(F.lit(0), span["size"] - 1, F.lit(budget)),
-        lambda i: F.struct(
-            F.array_join(F.slice(tokens, i + 1, F.lit(budget)), " ").alias("text"),
-            span["page"].alias("page"),
-            F.least(F.lit(budget), span["size"] - i).alias("size"),
-        ),
-    )
+
+    def cut(tokens: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), span["size"] - 1, F.lit(budget)),
+            lambda i: F.struct(
+                F.array_join(F.slice(tokens, i + 1, F.lit(budget)), " ").alias("text"),
+                span["page"].alias("page"),
+                F.least(F.lit(budget), span["size"] - i).alias("size"),
+            ),
+        )
+
+    # Bound: inside the inner function the whole span would be cut into tokens again for each of its parts.
+    parts = T.bound(T.rough_tokens(span["text"]), cut)
     whole = F.struct(span["text"].alias("text"), span["page"].alias("page"), span["size"].alias("size"))
     return F.when(span["size"] > budget, parts).otherwise(F.array(whole))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.config import Settings
+from inkwell.functions import text as T
 from inkwell.functions.text import token_count
 from inkwell.operators import chunking as C
 from inkwell.session import table
@@ -131,3 +132,31 @@ def test_chunks_of_whole_documents_keep_all_tokens(spark, sf):
     have = {r.asset_id: r.n for r in parents.collect()}
     for r in docs.select("asset_id", token_count(F.col("content")).alias("n")).collect():
         assert have.get(r.asset_id, 0) == r.n
+
+
+def test_quick_patterns_equal_the_plain_ones(spark):
+    """Sentences, token counts and line breaks of random texts over all special characters; null and empty stay what they are."""
+    rng = random.Random(17)
+    letters = [*"aZ9_./-\xdf\xf1\u8bed\u3002\uff01\uff1f!?\uff1b;,.\xa7\U0001f600", *T.WHITESPACE, "ab", ". ", "! ", "\n\n"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 60))) for _ in range(1500)] + ["", "."]
+    plain = C.SENTENCE.replace(r"(?!\w)", "")
+    assert plain != C.SENTENCE
+    breaks = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    every = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    for r in df.select(
+        "t", every(C.SENTENCE).alias("quick"), every(plain).alias("plain"), T.token_count(F.col("t")).alias("n"), F.size(T.rough_tokens(F.col("t"))).alias("m"),
+        every(T.LATIN_RUN).alias("latin"), every(T.LATIN_TOKEN).alias("listed"),
+        F.regexp_replace("t", C.EXOTIC_BREAKS, "\n").alias("lines"), F.translate("t", breaks, "\n" * len(breaks)).alias("translated"),
+    ).collect():
+        assert r["quick"] == r["plain"] and r["latin"] == r["listed"] and r["lines"] == r["translated"], repr(r["t"])
+        assert r["n"] == r["m"] or r["t"] is None
+
+
+def test_a_long_sentence_is_cut_into_tokens_once(spark):
+    text = " ".join(f"w{i}" for i in range(5000))
+    span = F.struct(F.col("t").alias("text"), F.lit(0).alias("page"), F.lit(5000).alias("size"))
+    cut = spark.createDataFrame([(text,)], "t string").select(C.hard_split(span, 480).alias("parts"))
+    assert "slice(regexp_extract_all" not in cut._jdf.queryExecution().analyzed().toString()
+    parts = cut.first()["parts"]
+    assert [p["size"] for p in parts] == [480] * 10 + [200] and " ".join(p["text"] for p in parts) == text
